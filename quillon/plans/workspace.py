@@ -55,3 +55,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written once to the shared folder, bucketed by ``key``: later joins and groups on it need no shuffle."""
+    spark = df.sparkSession
+    name, path = f"quillon_{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
