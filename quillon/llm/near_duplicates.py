@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.articles import live_ids
-from quillon.plans.workspace import materialise
+from quillon.plans.workspace import bucketed, materialise
 
 RUN, THRESHOLD = 3, 0.6
 
@@ -31,7 +31,8 @@ def run_sets(tokens: DataFrame, articles: DataFrame, run: int = RUN, field: str
     rows = live.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h"))).alias("t"))
     hashes = rows.select("doc_id", F.col("t.h").alias("h"))
     last = F.size("h") - (run - 1)
-    made = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(*(F.element_at("h", i + k) for k in range(run))))
+    moved = F.arrays_zip(*(F.slice("h", k + 1, last).alias(f"h{k}") for k in range(run)))
+    made = F.transform(moved, lambda x: F.xxhash64(*(x[f"h{k}"] for k in range(run))))
     return hashes.where(last > 0).select("doc_id", F.array_sort(F.array_distinct(made)).alias("runs"))
 
 
@@ -41,16 +42,18 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     ``sets`` has ``doc_id, runs``. Links are ``a, b, similarity`` between class ids (the least doc_id of a class);
     members are ``class_id, doc_id``.
     """
-    sets = materialise(sets.select("doc_id", "runs", F.size("runs").alias("n"), F.xxhash64("runs").alias("k1"), F.xxhash64(F.lit(1), "runs").alias("k2")))
+    sets = bucketed(sets.select("doc_id", "runs", F.size("runs").alias("n"), F.xxhash64("runs").alias("k1"), F.xxhash64(F.lit(1), "runs").alias("k2")), "doc_id", "run_sets")
     keys = sets.select("doc_id", "n", "k1", "k2")
     classes = keys.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id"))
     members = keys.join(classes, ["n", "k1", "k2"]).select("class_id", "doc_id")
     heads = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "runs")
 
-    rows = heads.select("doc_id", "n", F.explode("runs").alias("run"))
-    shared = rows.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
+    rows = heads.select("doc_id", F.explode("runs").alias("run"))
+    shared = rows.groupBy("run").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     # A run that only one class has can't link; it stands first in the common order, so it only shortens the prefix.
-    common = rows.join(shared, "run").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "run")).alias("c"))
+    # The rows go back to their documents as they are: they are smaller than lists of them.
+    back = rows.join(shared, "run").repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("df", "run")).alias("c"))
+    common = back.join(sets.select("doc_id", "n"), "doc_id")
     alone = F.col("n") - F.size("c")
     prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone
     anchored = (
