@@ -78,7 +78,7 @@ class ChangeStore:
         store = cls(spark, path, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         state = store._state()
         if state is None:
-            store._publish({"version": 0, "buckets": store.buckets, "data": None, "runs": []})
+            store._publish({"version": 0, "buckets": store.buckets, "runs": {}})
         else:
             store.buckets = state["buckets"]
         return store
@@ -92,11 +92,10 @@ class ChangeStore:
         state = self._state()
         batch = f"{state['version'] + 1:08d}"
         label = F.concat_ws("-", F.lit(batch), run if run is not None else F.lit("0"))
-        data = state["data"] or f"{self.path}/data-{uuid.uuid4().hex}"
-        folded = self._fold(document_changes(feed).withColumn("run", label), ["run"])
-        self._write(folded, data, "append")
-        runs = sorted({*state["runs"], *self._runs_on_disk(data, batch)})
-        self._publish(state | {"version": state["version"] + 1, "data": data, "runs": runs})
+        data = f"{self.path}/data-{batch}-{uuid.uuid4().hex}"
+        self._write(self._fold(document_changes(feed).withColumn("run", label), ["run"]), data)
+        runs = state["runs"] | self._runs_in(data)
+        self._publish(state | {"version": state["version"] + 1, "runs": runs})
         if len(runs) > self.max_runs:
             self.compact()
         return self
@@ -110,13 +109,15 @@ class ChangeStore:
         state = self._state()
         if not state["runs"]:
             return self
-        merged = self._merged(state).withColumn("run", F.lit(f"{state['version'] + 1:08d}-base"))
+        version = state["version"] + 1
+        merged = self._merged(state).withColumn("run", F.lit(f"{version:08d}-base"))
         if forget_before is not None:
             merged = merged.where(~(F.col("deleted") & (F.col("seq") < forget_before)))
-        data = f"{self.path}/data-{uuid.uuid4().hex}"
-        self._write(merged, data, "errorifexists")
-        self._publish(state | {"version": state["version"] + 1, "data": data, "runs": [f"{state['version'] + 1:08d}-base"]})
-        remove(self.spark, state["data"])
+        data = f"{self.path}/data-{version:08d}-{uuid.uuid4().hex}"
+        self._write(merged, data)
+        self._publish(state | {"version": version, "runs": self._runs_in(data)})
+        for old in {place.rpartition("/")[0] for place in state["runs"].values()}:
+            remove(self.spark, old)
         return self
 
     def live(self) -> DataFrame:
@@ -133,19 +134,17 @@ class ChangeStore:
         keys = [*more_keys, *KEY]
         return changes.groupBy(*keys).agg(_newest(["seq", "deleted", "doc_fields"]).alias("r")).select(*keys, "r.seq", "r.deleted", "r.doc_fields")
 
-    def _write(self, records: DataFrame, data: str, mode: str) -> None:
+    def _write(self, records: DataFrame, data: str) -> None:
         name = f"quillon_run_{uuid.uuid4().hex}"
         (
             records.select(*KEY, "seq", "deleted", "doc_fields", "run")
             .repartition(self.buckets, *KEY)
-            .write.mode(mode)
-            .partitionBy("run")
+            .write.partitionBy("run")
             .bucketBy(self.buckets, *KEY)
             .sortBy(*KEY)
             .option("path", data)
             .saveAsTable(name)
         )
-        self.spark.catalog.dropTempView(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def _merged(self, state: dict) -> DataFrame:
@@ -153,19 +152,20 @@ class ChangeStore:
         self.spark.sql(
             f"CREATE TABLE {name} (tbl STRING, external STRING, seq BIGINT, deleted BOOLEAN, doc_fields MAP<STRING, STRING>, run STRING) "
             f"USING parquet PARTITIONED BY (run) CLUSTERED BY (tbl, external) SORTED BY (tbl, external) INTO {self.buckets} BUCKETS "
-            f"LOCATION '{state['data']}'"
+            f"LOCATION '{self.path}/none'"
         )
-        named = " ".join(f"PARTITION (run='{r}') LOCATION '{state['data']}/run={r}'" for r in state["runs"])
+        named = " ".join(f"PARTITION (run='{r}') LOCATION '{place}'" for r, place in sorted(state["runs"].items()))
         self.spark.sql(f"ALTER TABLE {name} ADD {named}")
         return self._fold(self.spark.table(name), [])
 
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "tbl STRING, external STRING, seq BIGINT, deleted BOOLEAN, doc_fields MAP<STRING, STRING>")
 
-    def _runs_on_disk(self, data: str, batch: str) -> list[str]:
+    def _runs_in(self, data: str) -> dict[str, str]:
+        """The runs that a write left in a folder, with their places; none for a write without records."""
         fs, path = filesystem(self.spark, data)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        return [n.removeprefix("run=") for n in names if n.startswith(f"run={batch}")]
+        return {n.removeprefix("run="): f"{data}/{n}" for n in names if n.startswith("run=")}
 
     def _state(self) -> dict | None:
         """The manifest of the highest version: a complete file by the rename that published it."""
