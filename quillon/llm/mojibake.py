@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,6 +66,12 @@ class _Layer:
         three = f"{_class(self.bytes, 0xE0, 0xEF)}{follow}{{2}}"
         four = f"{_class(self.bytes, 0xF0, 0xF4)}{follow}{{3}}"
         self.pattern = re.compile(f"(?:{two}|{three}|{four})+")
+        self.leads = frozenset(c for c, b in self.bytes.items() if 0xC2 <= b <= 0xF4)
+        self.follows = frozenset(c for c, b in self.bytes.items() if 0x80 <= b <= 0xBF)
+
+    def possible(self, chars: set[str]) -> bool:
+        """Whether a text of these characters can hold a stretch of the layer."""
+        return not self.leads.isdisjoint(chars) and not self.follows.isdisjoint(chars)
 
     def restore(self, run: str) -> str | None:
         try:
@@ -136,8 +141,11 @@ def _undo_single(text: str, layer: _Layer) -> str:
 
 
 _LATIN_STRETCH = re.compile("[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™̀-ͯ](?:[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|[@-~](?=[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]))*[@-~]?")
+_HIGH = "[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]"
+_LONG_LATIN_STRETCH = re.compile(f"(?:{_HIGH}[@-~]?){{3}}{_HIGH}")
 _CYRILLIC_SIGNS = "".join(re.escape(c) for c in sorted({*_high_bytes("cp1251"), *_high_bytes("koi8-r"), *map(chr, range(0x80, 0xA0))}))
 _CYRILLIC_SENTENCE = re.compile(f"[{_CYRILLIC_SIGNS}][{_CYRILLIC_SIGNS}, -]*")
+_CYRILLIC_WORD = re.compile("[Ѐ-ӿ]")
 # The commonest letters of Russian, which make up most of any text.
 _CP1252_SIGNS = set("ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™")
 _COMMON_RUSSIAN = set("оеаинтсрвлк")
@@ -152,6 +160,7 @@ _ODD_IN_WORD = re.compile(
 # Western encodings mistaken for each other, as (read as, meant).
 _WESTERN = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"))
 _WESTERN_LETTERS = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ’“”–—…µ«»")
+_HAN = re.compile("[一-鿿]")
 _WIDE_RUN = re.compile("[^\\x00-\\x7f]+")
 
 
@@ -196,6 +205,8 @@ def _common_asian(char: str, encoding: str) -> bool:
 def _undo_east_asian(text: str) -> str:
     """Chinese or Japanese bytes that were read as a western encoding: stretches of letters and signs in pairs."""
     best, most = text, 0
+    if not _LONG_LATIN_STRETCH.search(text):
+        return text  # no stretch is long enough to prove an encoding
     for encoding in _EAST_ASIAN:
         found = []
         for match in _LATIN_STRETCH.finditer(text):
@@ -243,7 +254,7 @@ def _undo_cyrillic(text: str) -> str:
         return max(options)[2] if options and max(options)[0] >= 0.55 else run
 
     western = [("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866")]
-    letters = sum(len(r) for r in _LATIN_RUN.findall(text) if len(r) >= 4)
+    letters = sum(len(r) for r in _LATIN_RUN.findall(text) if len(r) >= 4) if _LONG_LATIN_STRETCH.search(text) else 0
     if letters >= 12 and letters > 0.5 * sum("\x80" <= c <= "ÿ" or c in _CP1252_SIGNS for c in text):
         text = re.sub("[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™][\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™ ,-]*", lambda m: best(m.group(), western), text)
 
@@ -256,12 +267,12 @@ def _undo_cyrillic(text: str) -> str:
         good = best(run, [("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251")])
         return good if _russian(good) > now + 0.15 else run
 
-    return _CYRILLIC_SENTENCE.sub(sentence, text)
+    return _CYRILLIC_SENTENCE.sub(sentence, text) if _CYRILLIC_WORD.search(text) else text
 
 
 def _undo_western(text: str) -> str:
     """Western bytes of one encoding that were read as another: signs or capitals inside words of small letters."""
-    before = len(_ODD_IN_WORD.findall(text))
+    before = len(_ODD_IN_WORD.findall(text)) if any(map(_may_be_odd, _beyond_ascii(text))) else 0
     if not before:
         return text
     best, least = text, before
@@ -288,6 +299,11 @@ def _undo_western(text: str) -> str:
     return best
 
 
+@functools.cache
+def _may_be_odd(char: str) -> bool:
+    return bool(_ODD_IN_WORD.search(f"aa{char}a") or _ODD_IN_WORD.search(f"aa{char}"))
+
+
 def _already_western(word: str) -> bool:
     """A word whose accented letters are all small, as in good text."""
     return all(c in _WESTERN_LETTERS and (c.islower() or not c.isalpha()) for c in word if c >= "\x80")
@@ -300,12 +316,21 @@ def _undo_gbk(text: str) -> str:
     plausible text. A short one, a hanzi or two in a text that has no other hanzi, must come out as one letter or
     sign of the kind that such texts have.
     """
-    native = sum(_common_han(c) and "一" <= c for c in text)
-    strange = sum("一" <= c < "ꀀ" and not _common_han(c) for c in text)
+    if not _HAN.search(text):
+        return text
+    counts: list[int] = []
+
+    def native_and_strange() -> list[int]:
+        """How many hanzi of the text are common ones, and how many are not."""
+        if not counts:
+            han = _HAN.findall(text)
+            common = sum(map(_common_han, han))
+            counts.extend((common, len(han) - common))
+        return counts
 
     def fix(match: re.Match) -> str:
         run = match.group()
-        if not any("一" <= c < "ꀀ" for c in run):
+        if not _HAN.search(run):
             return run
         try:
             data = run.replace(_LOST, "?").encode("gb18030")
@@ -318,10 +343,12 @@ def _undo_gbk(text: str) -> str:
             if len(run) >= 4 or han:
                 return good
             odd = any("一" <= c < "ꀀ" and not _common_han(c) for c in run)
-            if odd or native <= 2:
+            if odd or native_and_strange()[0] <= 2:
                 return good
-        if len(run) >= 4 and han >= 2 and wrong <= 0.5 * han and strange > 0.2 * (native + strange):
-            return _keep_lost(run, data)
+        if len(run) >= 4 and han >= 2 and wrong <= 0.5 * han:
+            native, strange = native_and_strange()
+            if strange > 0.2 * (native + strange):
+                return _keep_lost(run, data)
         return run
 
     return _WIDE_RUN.sub(fix, text)
@@ -352,22 +379,29 @@ def garbling_cost(text: str) -> int:
     return sum(_char_cost(c) for c in text if c >= "\x80")
 
 
-def _tiers(text: str) -> list[list[Callable[[str], str]]]:
-    """What may undo a layer, by how sure its evidence is."""
-    layers = [functools.partial(_undo_single, layer=_layer(e)) for e in SINGLE_BYTE if _layer(e).pattern.search(text)]
-    return [[_undo_east_asian], [_undo_cyrillic], [*layers, _undo_gbk], [_undo_western]]
+_ASCII = frozenset(map(chr, range(0x80)))
+
+
+def _beyond_ascii(text: str) -> set[str]:
+    return set(text) - _ASCII
 
 
 def _better(text: str) -> str | None:
     """The text with one layer undone, by the surest means that lowers the garbling cost; None if none does."""
-    cost = garbling_cost(text)
-    for tier in _tiers(text):
-        options = [(garbling_cost(good), n, good) for n, undo in enumerate(tier) if (good := undo(text)) != text]
-        swapped = tier[0] in (_undo_cyrillic, _undo_western)  # these compare how well the words read themselves
-        options = [o for o in options if swapped or o[0] < cost]
-        if options:
-            return min(options)[2]
-    return None
+    chars = _beyond_ascii(text)
+    if not chars:
+        return None
+    for undo in (_undo_east_asian, _undo_cyrillic):
+        if (good := undo(text)) != text and (undo is _undo_cyrillic or garbling_cost(good) < garbling_cost(text)):
+            return good
+    layers = [layer for layer in map(_layer, SINGLE_BYTE) if layer.possible(chars) and layer.pattern.search(text)]
+    tried = [*(_undo_single(text, layer) for layer in layers), _undo_gbk(text)]
+    if changed := [good for good in tried if good != text]:
+        cost, n, good = min((garbling_cost(good), n, good) for n, good in enumerate(changed))
+        if cost < garbling_cost(text):
+            return good
+    # These compare how well the words read; the number of signs stays the same.
+    return good if (good := _undo_western(text)) != text else None
 
 
 def repair(text: str | None) -> tuple[str | None, int]:
