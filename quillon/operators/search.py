@@ -239,7 +239,7 @@ class Collection:
         docs = self.with_tokens().agg(F.count("*").alias("docs"), F.coalesce(F.sum(sizes), F.lit(0)).alias("total_tokens"))
         distinct = self.postings().select("field", "term").distinct().agg(F.count("*").alias("terms"))
         present = self.field_stats().agg(F.count("*").alias("fields"))
-        return docs.select("docs", present.scalar().alias("fields"), distinct.scalar().alias("terms"), "total_tokens", F.coalesce(F.col("total_tokens") / F.col("docs"), F.lit(0.0)).alias("avg_doc_length"))
+        return docs.select("docs", present.scalar().alias("fields"), distinct.scalar().alias("terms"), "total_tokens", F.coalesce(F.try_divide("total_tokens", "docs"), F.lit(0.0)).alias("avg_doc_length"))
 
     def facet(self, name: str) -> DataFrame:
         """``value, docs`` of a field."""

@@ -359,3 +359,18 @@ _LIVE = rf"""
 _register("p1_found", p1_found, f"{_LIVE} SELECT tbl, external, seq FROM live")
 _register("p1_documents", p1_documents, f"{_LIVE} SELECT tbl, external, unnest(map_keys(doc_fields)) AS name, unnest(map_values(doc_fields)) AS value FROM live")
 _register("compaction_state", compaction_state, f"{_LIVE} SELECT tbl, count(*) AS docs, max(seq) AS last_seq FROM live GROUP BY tbl")
+
+# --- streaming ---
+
+
+def streamed_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The live documents after the feed arrived as a stream of files."""
+    from quillon.streaming.ingest import ingest, stream_changes
+
+    store = ChangeStore.open(spark, scratch_path(spark, "streamed"))
+    place = f"{folder}/changelog.parquet"
+    ingest(stream_changes(spark, place), store, scratch_path(spark, "checkpoint")).awaitTermination()
+    return store.live().select("tbl", "external", "seq")
+
+
+_register("streamed_changes", streamed_changes, f"{_LIVE} SELECT tbl, external, seq FROM live")

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators.changes import ChangeStore
+from quillon.plans.workspace import filesystem
 
 
 def stream_changes(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """The change records of Parquet files as they arrive in ``folder``."""
-    schema = "rec_id BIGINT, tbl STRING, seq BIGINT, op STRING, external STRING, doc_fields MAP<STRING, STRING>, deleted BOOLEAN, declared MAP<STRING, STRING>, logged_at TIMESTAMP, received_at TIMESTAMP"
+    """The change records of Parquet files as they arrive in ``folder`` (or of one file, by its path)."""
+    schema = "rec_id BIGINT, tbl STRING, seq BIGINT, op STRING, external STRING, doc_fields MAP<STRING, STRING>, deleted BOOLEAN, declared MAP<STRING, STRING>, logged_at TIMESTAMP_NTZ, received_at TIMESTAMP_NTZ"
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    fs, path = filesystem(spark, folder)
+    if fs.exists(path) and fs.getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
     return reader.parquet(folder)
 
 
