@@ -36,7 +36,7 @@ def scored_terms(articles: DataFrame, postings: DataFrame, field: str = "body")
     frequency = counts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     hot_df = counts.agg(F.count("*") * F.lit(HOT)).scalar()
     with_df = _join_frequency(counts, frequency.withColumn("hot", F.col("df") > hot_df))
-    weighted = with_df.join(lengths, "doc_id").withColumn("n", n.scalar()).withColumn("average", total.select("total").scalar() / F.col("n"))
+    weighted = with_df.join(lengths, "doc_id").withColumn("n", n.scalar()).withColumn("average", F.try_divide(total.select("total").scalar(), F.col("n")))
     return weighted.select("doc_id", "term", "tf", "df", score(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("average")).alias("score"))
 
 

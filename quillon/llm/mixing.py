@@ -136,7 +136,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
     wishes = spark.createDataFrame(wanted_rows, "source STRING, target_share DOUBLE, max_repeats INT, target_tokens DOUBLE, capped BOOLEAN")
     joined = wishes.join(used, "source", "left").fillna(0, ["tokens", "copies", "docs_used", "most_copies"])
     reached_total = joined.agg(F.sum("tokens")).scalar()
-    report = joined.withColumn("share", F.coalesce(F.col("tokens") / reached_total, F.lit(0.0)))
+    report = joined.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), reached_total), F.lit(0.0)))
     return copies, report
 
 
