@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 _WORD = rf"[\p{{L}}\p{{Nd}}&&[^{CJK}]]"
-TOKEN_PATTERN = rf"[{CJK}]|{_WORD}+(?:['’](?=[\p{{L}}\p{{Nd}}]){_WORD}*)*"
+# Possessive repeats: the same matches, without a stack frame for each apostrophe of a very long word.
+TOKEN_PATTERN = rf"[{CJK}]|{_WORD}++(?:['’](?=[\p{{L}}\p{{Nd}}]){_WORD}*+)*+"
 
 _FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _ASCII = "".join(map(chr, range(0x21, 0x7F)))
