@@ -5,7 +5,8 @@ relative entropy are exponential in the document's size: rate = exp(tilt * token
 tilts solve the convex dual; each Newton step is one distributed aggregation. The rates are then rounded to whole
 copies by a threshold on a hash of the document, chosen so that the tokens come out nearest to the target.
 
-Defined cases: texts of sources without a target are not in the mix; a source of weight 0, null or less gives
+Defined cases: rows of one doc_id are one text (the one of the greatest hash where they differ), a row without doc_id
+is none; texts of sources without a target are not in the mix; a source of weight 0, null or less gives
 nothing; a text without tokens follows the same rates and adds nothing to the size; a source that can't reach its
 target under its cap gives all it may, and what it lacks goes to the others in proportion to their weights.
 """
@@ -43,8 +44,10 @@ def sized_documents(documents: DataFrame, targets: DataFrame, vocabulary: str =
     """``doc_id, source, n_tokens`` of the texts that have a target; tokens are counted once and kept."""
     tokenizer = Tokenizer(documents.sparkSession, vocabulary)
     wanted = targets.where("source IS NOT NULL").select("source").distinct()
-    with_target = documents.select("doc_id", "text", "source").join(wanted, "source", "left_semi")
-    return materialise(with_target.select("doc_id", "source", tokenizer.count(F.col("text")).cast("long").alias("n_tokens")))
+    with_target = documents.where("doc_id IS NOT NULL").select("doc_id", "text", "source").join(wanted, "source", "left_semi")
+    counted = with_target.select("doc_id", "source", tokenizer.count(F.col("text")).cast("long").alias("n_tokens"), F.xxhash64("text").alias("h"))
+    one = counted.groupBy("doc_id").agg(F.max_by(F.struct("source", "n_tokens"), F.struct("h", "source")).alias("r"))
+    return materialise(one.select("doc_id", "r.source", "r.n_tokens"))
 
 
 def _by_source(df: DataFrame, values: dict[str, float], default: float = 0.0):
@@ -143,7 +146,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
 def mixed_texts(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """``doc_id, source, n_tokens, copies, text`` of each text in the mix."""
     copies, _ = mix(documents, targets, vocabulary)
-    return copies.where("copies > 0").join(documents.select("doc_id", "text"), "doc_id")
+    texts = documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    return copies.where("copies > 0").join(texts, "doc_id")
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

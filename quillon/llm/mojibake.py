@@ -126,18 +126,20 @@ def _ambiguous(text: str, start: int, end: int, run: str) -> bool:
 
 def _undo_single(text: str, layer: _Layer) -> str:
     """One layer of ``layer`` undone. An ambiguous stretch is undone where others prove the layer."""
+    foreign = layer.cyrillic and not _CYRILLIC_WORD.search(layer.pattern.sub("", text))  # no Cyrillic but in stretches
 
     def good(match: re.Match) -> str | None:
         run = match.group()
-        if layer.cyrillic and all(c in _RUSSIAN or c in _BESIDE_RUSSIAN for c in run):
+        if layer.cyrillic and not (foreign and proven) and all(c in _RUSSIAN or c in _BESIDE_RUSSIAN for c in run):
             beside = text[max(0, match.start() - 1) : match.start()] + text[match.end() : match.end() + 1]
             if not any(c.isascii() and c.isalpha() for c in beside):
                 return None
         better = layer.restore(run)
         return better if better is not None and all(_plausible(c) or c in _INTERMEDIATE for c in better) else None
 
-    proof = any(good(m) is not None and not _ambiguous(text, m.start(), m.end(), m.group()) for m in layer.pattern.finditer(text))
-    return layer.pattern.sub(lambda m: good(m) or m.group(), text) if proof else text
+    proven = False
+    proven = any(good(m) is not None and not _ambiguous(text, m.start(), m.end(), m.group()) for m in layer.pattern.finditer(text))
+    return layer.pattern.sub(lambda m: good(m) or m.group(), text) if proven else text
 
 
 _LATIN_STRETCH = re.compile("[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™̀-ͯ](?:[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]|[@-~](?=[\x80-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]))*[@-~]?")
@@ -161,6 +163,7 @@ _ODD_IN_WORD = re.compile(
 _WESTERN = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"))
 _WESTERN_LETTERS = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ’“”–—…µ«»")
 _HAN = re.compile("[一-鿿]")
+_CHINESE = re.compile("[一-鿿]{4}|[。，、！？；：]")
 _WIDE_RUN = re.compile("[^\\x00-\\x7f]+")
 
 
@@ -239,6 +242,12 @@ def _russian(text: str) -> float:
     return sum(c in _COMMON_RUSSIAN for c in letters) / wide if wide else 0.0
 
 
+def _russian_case(text: str) -> float:
+    """The share of small letters among those after the first of a word; low where an encoding swapped the cases."""
+    inner = [c for word in re.findall("[Ѐ-ӿ╦╗]+", text) for c in word[1:] if c.isalpha()]
+    return sum(c.islower() for c in inner) / len(inner) if inner else 0.0
+
+
 def _undo_cyrillic(text: str) -> str:
     """Russian bytes of one legacy encoding that were read as another or as a western one."""
 
@@ -250,8 +259,8 @@ def _undo_cyrillic(text: str) -> str:
                 good = data.decode(meant) if data else ""
             except UnicodeDecodeError:
                 continue
-            options.append((round(_russian(good), 3), sum(c.islower() for c in good), good))
-        return max(options)[2] if options and max(options)[0] >= 0.55 else run
+            options.append((round(_russian(good) + 0.5 * _russian_case(good), 3), good))
+        return max(options)[1] if options and max(options)[0] >= 0.9 else run
 
     western = [("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866")]
     letters = sum(len(r) for r in _LATIN_RUN.findall(text) if len(r) >= 4) if _LONG_LATIN_STRETCH.search(text) else 0
@@ -260,12 +269,18 @@ def _undo_cyrillic(text: str) -> str:
 
     def sentence(match: re.Match) -> str:
         run = match.group()
-        if sum("Ѐ" <= c <= "ӿ" for c in run) < 6 or (now := _russian(run)) >= 0.5:
+        if sum("Ѐ" <= c <= "ӿ" for c in run) < 6:
+            return run
+        capitals = run.isupper()
+        now, case = _russian(run), _russian_case(run)
+        if now >= 0.5 if capitals else now + 0.5 * case >= 0.9:
             return run
         if len(_layer("cp1251").pattern.sub("", run)) < 0.5 * len(run):
             return run  # UTF-8 that was read as cp1251
         good = best(run, [("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("cp866", "cp1251")])
-        return good if _russian(good) > now + 0.15 else run
+        if capitals:
+            return good if _russian(good) >= max(0.55, now + 0.15) else run
+        return good if _russian(good) + 0.5 * _russian_case(good) > max(0.9, now + 0.5 * case + 0.25) else run
 
     return _CYRILLIC_SENTENCE.sub(sentence, text) if _CYRILLIC_WORD.search(text) else text
 
@@ -313,8 +328,8 @@ def _undo_gbk(text: str) -> str:
     """UTF-8 that was read as GBK: hanzi from byte pairs that cut across characters.
 
     Pairs may have swallowed an ASCII character, which the round trip gives back. A long stretch must come out as
-    plausible text. A short one, a hanzi or two in a text that has no other hanzi, must come out as one letter or
-    sign of the kind that such texts have.
+    plausible text. A short one must come out as a letter or sign that western texts have, and be of rare hanzi or in
+    a text that is not Chinese.
     """
     if not _HAN.search(text):
         return text
@@ -343,7 +358,9 @@ def _undo_gbk(text: str) -> str:
             if len(run) >= 4 or han:
                 return good
             odd = any("一" <= c < "ꀀ" and not _common_han(c) for c in run)
-            if odd or native_and_strange()[0] <= 2:
+            if not all(c < "\x80" or c in _WESTERN_LETTERS for c in good):
+                return run
+            if odd or not _CHINESE.search(text):
                 return good
         if len(run) >= 4 and han >= 2 and wrong <= 0.5 * han:
             native, strange = native_and_strange()
@@ -395,11 +412,12 @@ def _better(text: str) -> str | None:
         if (good := undo(text)) != text and (undo is _undo_cyrillic or garbling_cost(good) < garbling_cost(text)):
             return good
     layers = [layer for layer in map(_layer, SINGLE_BYTE) if layer.possible(chars) and layer.pattern.search(text)]
-    tried = [*(_undo_single(text, layer) for layer in layers), _undo_gbk(text)]
-    if changed := [good for good in tried if good != text]:
+    if changed := [good for layer in layers if (good := _undo_single(text, layer)) != text]:
         cost, n, good = min((garbling_cost(good), n, good) for n, good in enumerate(changed))
         if cost < garbling_cost(text):
             return good
+    if (good := _undo_gbk(text)) != text:
+        return good
     # These compare how well the words read; the number of signs stays the same.
     return good if (good := _undo_western(text)) != text else None
 
@@ -449,5 +467,5 @@ def restore_documents(documents: DataFrame) -> DataFrame:
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
-    """``doc_id`` of each row whose text is garbled; every copy counts."""
-    return restore_documents(documents).where("garbled").select("doc_id")
+    """``doc_id`` of each document whose text is garbled, once; every copy of a text counts under its own id."""
+    return restore_documents(documents).where("garbled").select("doc_id").distinct()

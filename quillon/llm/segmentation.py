@@ -57,16 +57,14 @@ def _cohesion(ids: np.ndarray, cuts: np.ndarray, block: int) -> np.ndarray:
 
 def _depths(similarity: np.ndarray) -> np.ndarray:
     """Depth of each valley: how far the similarity rises to the nearest peak on either side."""
-    n = len(similarity)
-    depth = np.zeros(n)
-    for k in range(n):
-        left = right = k
-        while left > 0 and similarity[left - 1] >= similarity[left]:
-            left -= 1
-        while right < n - 1 and similarity[right + 1] >= similarity[right]:
-            right += 1
-        depth[k] = similarity[left] + similarity[right] - 2 * similarity[k]
-    return depth
+    left, right = similarity.copy(), similarity.copy()
+    for k in range(1, len(similarity)):
+        if similarity[k - 1] >= similarity[k]:
+            left[k] = left[k - 1]
+    for k in range(len(similarity) - 2, -1, -1):
+        if similarity[k + 1] >= similarity[k]:
+            right[k] = right[k + 1]
+    return left + right - 2 * similarity
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> list[Piece]:
@@ -94,7 +92,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
         else:
             low, high = np.searchsorted(cuts, [start + max(1, room // 2), start + room + 1])
             if low == high:
-                low = np.searchsorted(cuts, start + 1)
+                low = np.searchsorted(cuts, start + max(overlap, room // 8))
             end = int(cuts[high - 1 - int(np.argmax(score[low:high][::-1]))]) if low < high else start + room
         first = start - back
         begin = 0 if first == 0 else spans[first][0]
