@@ -205,6 +205,11 @@ def _common_asian(char: str, encoding: str) -> bool:
     return len(data) == 2 and low <= data[0] <= high
 
 
+def _is_utf8(data: bytes) -> bool:
+    """Whether bytes are mostly UTF-8: a stretch may begin or end inside a character."""
+    return data.decode("utf-8", "replace").count(_LOST) <= 0.1 * len(data)
+
+
 def _undo_east_asian(text: str) -> str:
     """Chinese or Japanese bytes that were read as a western encoding: stretches of letters and signs in pairs."""
     best, most = text, 0
@@ -217,7 +222,7 @@ def _undo_east_asian(text: str) -> str:
             for part in (run, run[:-1] if run[-1] < "\x80" else ""):
                 data = _legacy_bytes(part, "cp1252") if part else None
                 try:
-                    good = data.decode(encoding) if data else ""
+                    good = data.decode(encoding) if data and not _is_utf8(data) else ""
                 except UnicodeDecodeError:
                     continue
                 if good:
