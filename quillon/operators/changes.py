@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.errors import Corrupted
 from quillon.plans.workspace import filesystem, remove, scratch_path
 
 KEY = ("tbl", "external")
@@ -177,6 +178,8 @@ class ChangeStore:
         stream = fs.open(filesystem(self.spark, f"{self.path}/manifest/{latest}")[1])
         try:
             return json.loads(stream.readUTF())
+        except Exception as e:
+            raise Corrupted(f"the manifest {latest} of {self.path} can't be read: {e}") from e
         finally:
             stream.close()
 

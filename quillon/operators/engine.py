@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -32,6 +33,7 @@ from quillon.functions.scoring import BM25
 from quillon.functions.values import DATE, DATE_TEXT, DECIMAL_TEXT, KEYWORD, NUMBER, TEXT, parse_kind
 from quillon.operators.changes import ChangeStore
 from quillon.operators.documents import Document, declare, document_from_values, validate
+from quillon.operators.index import PostingIndex
 from quillon.operators.search import Collection, SearchResult
 from quillon.plans.workspace import filesystem, remove
 
@@ -202,7 +204,39 @@ class Table:
         return self._store.live().select(F.col("external").alias("id"), "seq", "doc_fields")
 
     def collection(self) -> Collection:
-        """The live documents with a typed column per declared field."""
+        """The live documents with a typed column per declared field; with stored tokens and postings where they are current."""
+        if found := _read_json(self.spark, f"{self._index_path()}/ready.json"):
+            return self._indexed(found["kinds"])
+        return self._plain()
+
+    def _index_path(self) -> str:
+        """The place of the index of just this state: its log version, schema and analyzer."""
+        state = f"{self._store.stats()['version']}/{sorted(self.schema().items())}/{self.analyzer.fingerprint}"
+        return f"{self.path}/index/{zlib.crc32(state.encode()):08x}-{self._store.stats()['version']}"
+
+    def build_index(self) -> Collection:
+        """Analyses the live documents once and stores tokens and postings; searches use them until the next write.
+
+        The index is derived: it is found by the state it was built from and never repaired. Indexes of former
+        states are removed.
+        """
+        path, plain = self._index_path(), self._plain()
+        if not _read_json(self.spark, f"{path}/ready.json"):
+            plain.prepare(f"{path}/tokens", int(self.spark.conf.get("spark.sql.shuffle.partitions"))).with_index(f"{path}/postings")
+            _write_json(self.spark, f"{path}/ready.json", {"kinds": plain.kinds})
+            fs, root = filesystem(self.spark, f"{self.path}/index")
+            for old in fs.listStatus(root):
+                if old.getPath().getName() != path.rpartition("/")[2]:
+                    fs.delete(old.getPath(), True)
+        return self.collection()
+
+    def _indexed(self, kinds: dict[str, str]) -> Collection:
+        stored = self.spark.read.parquet(f"{self._index_path()}/tokens")
+        index = PostingIndex.open(self.spark, f"{self._index_path()}/postings")
+        docs = stored.select("seq", "id", *sorted(kinds))
+        return Collection(docs, kinds, self.analyzer, self.bm25, stored, index)
+
+    def _plain(self) -> Collection:
         kinds = self.schema()
         columns = [typed(k, F.element_at("doc_fields", n)).alias(n) for n, k in sorted(kinds.items())]
         return Collection(self.live().select("seq", "id", *columns), kinds, self.analyzer, self.bm25)
@@ -284,19 +318,24 @@ class Engine:
     root: str
     analyzer: StandardAnalyzer = field(default_factory=StandardAnalyzer)
     bm25: BM25 = field(default_factory=BM25)
+    #: Declarations of tables, made at the start; a table that exists takes those that are compatible.
+    schemas: dict[str, dict[str, str]] = field(default_factory=dict)
     closed: bool = False
+    _open: dict[str, Table] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for name in self.table_names():
             check_table_name(name)
         if DEFAULT_TABLE not in self.table_names():
             self._make(DEFAULT_TABLE, {})
+        for name, kinds in self.schemas.items():
+            self.ensure_table(name, kinds)
 
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _make(self, name: str, kinds: dict[str, str]) -> Table:
-        made = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
+        made = self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
         made._write_meta(kinds={n: parse_kind(k) for n, k in kinds.items()})
         return made
 
@@ -313,7 +352,9 @@ class Engine:
             raise EngineClosed("the engine is closed")
         if name not in self.table_names():
             raise TableNotFound(f"there is no table {name!r}")
-        return Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
+        if name not in self._open:
+            self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
+        return self._open[name]
 
     def create_table(self, name: str, kinds: dict[str, str] | None = None) -> Table:
         check_table_name(name)
@@ -337,6 +378,7 @@ class Engine:
         if name == DEFAULT_TABLE:
             raise CannotDropDefault("the default table can't be dropped")
         self.table(name)
+        del self._open[name]
         remove(self.spark, self._path(name))
 
     def stats(self) -> list[dict]:

@@ -19,7 +19,7 @@ from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, format_date, f
 from quillon.operators.index import PostingIndex
 from quillon.operators.sorting import SortKey, check_sort, ordering, parse_sort
 from quillon.plans.compile import Clause, Compiler, Group, Statistics, analyse, needs_all_documents, positive_terms, range_filter, wanted_numbers, wanted_terms
-from quillon.plans.syntax import Node, parse
+from quillon.plans.syntax import MAX_CLAUSES, Node, parse
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_OFFSET = 10, 100, 1_000_000
 
@@ -132,13 +132,14 @@ class Collection:
         sort: str | list[SortKey] | None = None,
         default_and: bool = False,
         mode: str = "auto",
+        max_clauses: int = MAX_CLAUSES,
     ) -> SearchResult:
         """Runs a query. ``fields`` restricts bare words and phrases; unknown names are ignored.
 
         ``mode`` is ``scan``, ``postings`` or ``auto`` (postings where there is an index and no document without
         any of the terms can match).
         """
-        node = parse(query, default_and) if isinstance(query, str) else query
+        node = parse(query, default_and, max_clauses) if isinstance(query, str) else query
         keys = parse_sort(sort) if isinstance(sort, str) or sort is None else sort
         check_sort(keys, self.kinds)
         tree = analyse(node, self.kinds, self.searchable, fields, self.analyzer)

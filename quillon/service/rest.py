@@ -83,8 +83,8 @@ def _boolean(params: dict[str, list[str]], name: str) -> bool:
 class Api:
     """The routes as a function of method, path, query and body; usable without a socket."""
 
-    def __init__(self, engine: Engine):
-        self.engine = engine
+    def __init__(self, engine: Engine, max_clauses: int = 32):
+        self.engine, self.max_clauses = engine, max_clauses
 
     def handle(self, method: str, url: str, body: bytes = b"") -> tuple[int, dict | None]:
         parts = urlsplit(url)
@@ -177,6 +177,7 @@ class Api:
             limit=_integer(params, "limit", 10),
             offset=_integer(params, "offset", 0),
             sort=parse_sort(_one(params, "sort")),
+            max_clauses=self.max_clauses,
         )
         marks = _boolean(params, "highlight")
         rows = found.hits(highlight=marks).collect()
@@ -184,9 +185,9 @@ class Api:
         return 200, {"took_ms": (time.perf_counter() - began) * 1000, "total": found.total(), "hits": hits}
 
 
-def serve(engine: Engine, address: str = "127.0.0.1:8080") -> ThreadingHTTPServer:
+def serve(engine: Engine, address: str = "127.0.0.1:8080", max_clauses: int = 32) -> ThreadingHTTPServer:
     """A server for the engine, bound and not yet running; call ``serve_forever``."""
-    api = Api(engine)
+    api = Api(engine, max_clauses)
 
     class Handler(BaseHTTPRequestHandler):
         def _run(self) -> None:

@@ -171,3 +171,41 @@ def test_config(tmp_path):
     for bad in ("a", "a:vector"):
         with pytest.raises(errors.InvalidFieldKind):
             parse_mapping(bad)
+
+
+def test_index_of_a_table_follows_its_state(spark, engine):
+    t = engine.create_table("indexed")
+    t.upsert_many([Document(f"d{k}", {"title": f"alpha {'beta' if k % 2 else 'gamma'}"}, numbers={"n": k}) for k in range(6)])
+    before = fingerprint(t)
+    assert t.build_index().index is not None and fingerprint(t) == before
+    assert [r.id for r in t.search("alpha AND n:>=4", sort="n:desc").ranked.collect()] == ["d5", "d4"]
+    t.delete("d1")
+    assert t.collection().index is None and t.count() == 5 and t.search("beta").total() == 2
+    t.build_index()
+    assert t.search("beta").total() == 2 and len(list((__import__("pathlib").Path(engine.root) / "indexed/index").iterdir())) == 1
+
+
+def test_failed_append_makes_a_table_read_only(spark, engine, monkeypatch):
+    from quillon.operators.changes import ChangeStore
+
+    t = engine.create_table("broken")
+    t.upsert(Document("1", {"title": "alpha"}))
+    with monkeypatch.context() as m:
+        m.setattr(ChangeStore, "_publish", lambda *_: (_ for _ in ()).throw(OSError("disk full")))
+        with pytest.raises(errors.PersistenceBroken):
+            t.upsert(Document("2", {"title": "alpha"}))
+    with pytest.raises(errors.PersistenceBroken):
+        engine.table("broken").upsert(Document("3", {"title": "alpha"}))
+    assert engine.table("broken").count() == 1 and Engine(spark, engine.root).table("broken").search("alpha").total() == 1
+
+
+def test_start_imports_once(spark, tmp_path):
+    from quillon.service.__main__ import start
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.txt").write_text("alpha")
+    config = load(["--root", str(tmp_path / "db"), "--corpus", str(tmp_path / "in"), "--generate", "5", "--mapping", "sku:keyword"], {})
+    assert start(spark, config).table().count() == 6
+    (tmp_path / "in" / "two.txt").write_text("beta")
+    again = start(spark, config).table()
+    assert again.count() == 6 and again.schema()["sku"] == "keyword" and again.search("alpha").total() == 1
