@@ -6,6 +6,10 @@ import math
 import re
 from datetime import datetime, timedelta, timezone
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from quillon.errors import IntegerTooLarge, InvalidFieldKind, InvalidFieldValue, NotNumericField
 
 TEXT, KEYWORD, NUMBER, DATE = "text", "keyword", "number", "date"
@@ -97,3 +101,19 @@ def format_date(millis: int) -> str:
     moment = _EPOCH + timedelta(milliseconds=int(millis))
     fraction = f".{int(millis) % 1000:03d}".rstrip("0").rstrip(".")
     return moment.strftime("%Y-%m-%dT%H:%M:%S") + fraction + "Z"
+
+
+def millis_of(column: Column, data_type: T.DataType) -> Column:
+    """Whole milliseconds since 1970 of a time column; one without a zone, or a day, is taken as UTC."""
+    if isinstance(data_type, T.TimestampType):
+        return F.unix_millis(column)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
+    return F.floor(micros / 1000).cast("long")
+
+
+def moment(millis: int, data_type: T.DataType) -> Column:
+    """A literal of a time column's type."""
+    if isinstance(data_type, T.TimestampType):
+        return F.timestamp_millis(F.lit(int(millis)))
+    text = (_EPOCH + timedelta(milliseconds=int(millis))).strftime("%Y-%m-%d %H:%M:%S.%f")
+    return F.lit(text).cast("timestamp_ntz")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions.analysis import StandardAnalyzer, keyword_tokens
 from quillon.functions.highlight import Highlighter
 from quillon.functions.scoring import BM25
-from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, format_date, format_number
+from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, format_date, format_number, millis_of
 from quillon.operators.index import PostingIndex
 from quillon.operators.sorting import SortKey, check_sort, ordering, parse_sort
 from quillon.plans.compile import Clause, Compiler, Group, Statistics, analyse, needs_all_documents, positive_terms, range_filter, wanted_numbers, wanted_terms
@@ -164,7 +164,10 @@ class Collection:
         return SearchResult(self, node, page.select("seq", "id", "score"), found.select("seq", "id", "score"), order)
 
     def _plain(self, numbers: list[str], keys: list[SortKey]) -> list[Column]:
-        return [*(F.col(n).alias(f"_n_{n}") for n in numbers), *(F.col(k.field).alias(f"_s_{k.field}") for k in keys)]
+        return [*(F.col(n).alias(f"_n_{n}") for n in numbers), *(self._sort_value(k.field).alias(f"_s_{k.field}") for k in keys)]
+
+    def _sort_value(self, name: str) -> Column:
+        return millis_of(F.col(name), self.docs.schema[name].dataType) if self.kinds[name] == DATE else F.col(name)
 
     def _scan_rows(self, tree, terms, lengths, numbers, keys) -> DataFrame:  # noqa: ANN001
         places = [F.transform(F.filter(f"_t_{f}", _is(t)), lambda x: x["pos"]).alias(f"_p{k}") for k, (f, t) in enumerate(terms)]
@@ -212,7 +215,7 @@ class Collection:
             if kind == NUMBER:
                 value = F.arrow_udf(numbers, "string")(value.cast("double"))
             elif kind == DATE:
-                value = F.arrow_udf(dates, "string")(F.unix_millis(value.cast("timestamp")))
+                value = F.arrow_udf(dates, "string")(millis_of(value, self.docs.schema[name].dataType))
             entries += [F.lit(name), value.cast("string")]
         return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
 

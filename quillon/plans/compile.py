@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quillon.errors import NilQuery, NotNumericField
 from quillon.functions.analysis import fold_text
 from quillon.functions.scoring import BM25
-from quillon.functions.values import DATE, KEYWORD, NUMBER, parse_bound
+from quillon.functions.values import DATE, KEYWORD, NUMBER, moment, parse_bound
 from quillon.plans.syntax import Bool, FieldRange, FieldTerm, Node, Phrase, Term
 
 
@@ -130,7 +130,7 @@ def range_filter(column: Column, kind: str, data_type: T.DataType, clause: Claus
 
     def literal(value: float, step: int = 0) -> Column:
         if kind == DATE:
-            return F.timestamp_millis(F.lit(int(value) + step)).cast(data_type)
+            return moment(int(value) + step, data_type)
         if isinstance(data_type, T.IntegralType) and float(value).is_integer() and abs(value) < 2**31:
             return F.lit(int(value))
         return F.lit(float(value))
