@@ -25,8 +25,12 @@ DUCKDB_MEMORY = "256MB"
 _PARTIAL = "field STRING, term STRING, occurrences BIGINT, df BIGINT"
 
 
-def _aggregate_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's rows by (field, term), by DuckDB over the stream of batches."""
+def _aggregate_part(batches: Iterator[pa.RecordBatch], spill: str) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's rows by (field, term), by DuckDB over the stream of batches.
+
+    ``spill`` is a folder in the shared workspace; where that is no plain file system it is empty, and a part must
+    fit in DuckDB's memory.
+    """
     import duckdb
 
     first = next(batches, None)
@@ -38,7 +42,7 @@ def _aggregate_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from batches
 
     reader = pa.RecordBatchReader.from_batches(first.schema, stream())  # noqa: F841 (named in the SQL)
-    with duckdb.connect(config={"memory_limit": DUCKDB_MEMORY, "threads": 1}) as connection:
+    with duckdb.connect(config={"memory_limit": DUCKDB_MEMORY, "threads": 1, "temp_directory": spill and f"{spill}/{uuid.uuid4().hex}"}) as connection:
         result = connection.sql("SELECT field, term, sum(n)::BIGINT AS occurrences, count(*)::BIGINT AS df FROM reader GROUP BY field, term")
         for batch in result.to_arrow_reader(50_000):
             yield batch.cast(pa.schema([("field", pa.string()), ("term", pa.string()), ("occurrences", pa.int64()), ("df", pa.int64())]))
@@ -97,7 +101,9 @@ def term_frequencies(tokens: DataFrame, articles: DataFrame, limit: int = LIMIT,
     )
     counts = once.groupBy("field", "term", "doc_id").agg(F.count("*").alias("n"))
     parts = radix_parts(spark, counts, limit, bits)
-    partial = parts.select("field", "term", "n", "part").repartition("part").drop("part").mapInArrow(_aggregate_part, _PARTIAL)
+    place = scratch_path(spark, "duckdb")
+    spill = place.removeprefix("file:").replace("//", "/", 1) if place.startswith(("file:", "/")) else ""
+    partial = parts.select("field", "term", "n", "part").repartition("part").drop("part").mapInArrow(lambda batches: _aggregate_part(batches, spill), _PARTIAL)
     totals = partial.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("df").alias("df"))
     articles_with = F.when(F.col("field") == "title", with_fields.title).when(F.col("field") == "body", with_fields.body)
     mark = F.when(F.col("df") <= RARE, "rare").when(F.col("df") > COMMON * articles_with, "common")
