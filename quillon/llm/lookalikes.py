@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.articles import live_articles
+from quillon.plans.workspace import materialise
 
 # Letters of other alphabets and the Latin letters that look like them.
 LOOK_ALIKES = dict(zip(
@@ -159,7 +160,7 @@ def canonical_texts(texts: DataFrame, key: str = "doc_id", text: str = "text") -
     """
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text"))
     words = rows.select(F.explode(words_of(F.col("text"))).alias("word"))
-    forms = canonical_words(words)
+    forms = materialise(canonical_words(words))
     odd = rows.where(F.col("text").rlike(_BEYOND_ASCII)).select("key", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).where(F.col("word").rlike(_BEYOND_ASCII))
     found = odd.join(forms, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "form"))).alias("forms"))
     joined = rows.join(found, "key", "left")
@@ -178,7 +179,7 @@ def same_looking_pairs(articles: DataFrame) -> DataFrame:
     Links are made between the distinct titles of a form; articles are joined to them only at the end, so copies of
     one title meet none of each other.
     """
-    titled = same_looking_titles(articles)
+    titled = materialise(same_looking_titles(articles))
     distinct = titled.groupBy("form", "title").agg(F.count("*").alias("n"))
     mixed = distinct.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
     variants = distinct.join(mixed, "form", "left_semi").select("form", "title")
