@@ -61,9 +61,17 @@ def fold(token: Column) -> Column:
     return F.lower(plain)
 
 
+_WIDE_WORD = "".join(c for c in _FULL_WIDTH if c.isalnum())
+_NARROW_WORD = "".join(a for w, a in zip(_FULL_WIDTH, _ASCII) if w.isalnum())
+
+
 def terms(text: Column) -> Column:
-    """All terms of a text in order (no stop words, minimum length 1)."""
-    return F.transform(raw_tokens(text), fold)
+    """All terms of a text in order (no stop words, minimum length 1).
+
+    The text is folded as a whole before its words are taken, which gives the same words: folding turns letters
+    into letters, and only those full-width signs that are letters or digits are folded here.
+    """
+    return raw_tokens(F.lower(F.translate(text, _WIDE_WORD + "’Σİ", _NARROW_WORD + "'σi")))
 
 
 def term_count(text: Column) -> Column:
@@ -119,10 +127,9 @@ class StandardAnalyzer:
         return found
 
     def _kept(self, term: Column) -> Column:
-        keep = F.char_length(term) >= self.min_length
-        if stop := sorted(self._stop()):
-            keep = keep & ~term.isin(stop)
-        return term.rlike(f"^[{CJK}]$") | keep
+        stop = sorted(self._stop())
+        long = F.lit(True) if not stop else ~term.isin(stop)
+        return F.when(F.char_length(term) >= self.min_length, long).otherwise(term.rlike(f"^[{CJK}]$"))
 
     def tokens(self, text: Column) -> Column:
         """``array<struct<term, pos>>`` of the kept terms; null for null."""
