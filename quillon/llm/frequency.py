@@ -58,10 +58,13 @@ def radix_parts(spark: SparkSession, counts: DataFrame, limit: int = LIMIT, bits
     root = scratch_path(spark, "radix")
     level = 0
     hashed = counts.withColumn("radix", F.xxhash64("field", "term"))
+    # Rows of one digit go to few tasks, so that a level writes about as many files as there are tasks or digits.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(-(-tasks // (1 << bits))))
     done: list[DataFrame] = []
     while True:
         path = f"{root}/level={level}-{uuid.uuid4().hex[:6]}"
-        hashed.withColumn("digit", _digit(level, bits)).write.partitionBy("digit").parquet(path)
+        hashed.withColumn("digit", _digit(level, bits)).repartition(tasks, "digit", slot).write.partitionBy("digit").parquet(path)
         written = spark.read.schema("field STRING, term STRING, doc_id BIGINT, n BIGINT, radix BIGINT, digit INT").parquet(path)
         sizes = {r.digit: (r["count"], r.one) for r in written.groupBy("digit").agg(F.count("*").alias("count"), (F.min("radix") == F.max("radix")).alias("one")).collect()}
         over = {d for d, (n, _) in sizes.items() if n > limit}
