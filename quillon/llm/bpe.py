@@ -40,12 +40,12 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("arcs", "final", "last", "live", "pending")
+    __slots__ = ("arcs", "final", "last", "nodes", "pending")
 
-    def __init__(self, last: bytes | None, pending: bytes, live: tuple[tuple[int, int], ...]):
+    def __init__(self, last: int | None, pending: bytes, nodes: dict[int, tuple[int, int]]):
         self.last = last  # token given out most recently
         self.pending = pending  # bytes read and not given out
-        self.live = live  # (boundary, boundary before it) for each open boundary in pending; 0 is the start
+        self.nodes = nodes  # boundaries in pending from which more can follow: the one before, and the token between
         self.arcs: dict[int, tuple[_State, tuple[int, ...]]] = {}
         self.final: tuple[int, ...] | None = None
 
@@ -55,80 +55,110 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.words = regex.compile(WORD_PATTERN)
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(None, b"", ())
+        self.start = _State(None, b"", {})
         self.states: dict[tuple, _State] = {}
 
-    def merge(self, data: bytes) -> list[bytes]:
-        """Segmentation of a short byte string by applying the merges in their order."""
+    def split(self, token: int) -> tuple[int, int]:
+        """The two tokens whose merge makes a token, found by applying the merges in their order; itself for a byte."""
+        if (known := self.halves.get(token)) is not None:
+            return known
+        data, ranks = self.tokens[token], self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == 1 << 30:
-                break
+        while len(parts) > 2:
+            _, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        pair = (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else (token, token)
+        self.halves[token] = pair
+        return pair
+
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether two tokens stay apart when they stand side by side.
 
-    def compatible(self, left: bytes, right: bytes) -> bool:
-        """Whether the two tokens stay apart when they stand side by side."""
+        They would not if a merge across their border came before one that made them: the border is followed down
+        the halves of either token, the later merge first.
+        """
         known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[left, right] = self.merge(left + right) == [left, right]
-        return known
+        if known is not None:
+            return known
+        if len(self.fits) > 2_000_000:
+            self.fits.clear()
+        tokens, ranks = self.tokens, self.ranks
+        a, b, bound, apart = left, right, 1 << 30, True
+        while True:
+            if ranks.get(tokens[a] + tokens[b], 1 << 30) < bound:
+                apart = False
+                break
+            # The token that was merged later is undone; an equal rank merges from the left.
+            later_left = a > b
+            for undo_left in (later_left, not later_left):
+                if undo_left:
+                    inner, bound_now = self.split(a)[1], a
+                    if inner != a:
+                        a, bound = inner, bound_now
+                        break
+                else:
+                    inner, bound_now = self.split(b)[0], b + 1
+                    if inner != b:
+                        b, bound = inner, bound_now
+                        break
+            else:
+                break
+        self.fits[left, right] = apart
+        return apart
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The arc of ``state`` for ``byte``: the state it leads to and the ids it emits."""
         data = state.pending + bytes((byte,))
-        n = len(data)
-        before = {0: -1, **dict(state.live)}
-
-        def token_at(end: int) -> bytes | None:
-            return state.last if end == 0 else data[before[end] : end]
-
-        for start in range(max(0, n - self.longest), n):
-            token = data[start:]
-            if start not in before or token not in self.ranks:
+        n, ranks, prefixes, nodes = len(data), self.ranks, self.prefixes, dict(state.nodes)
+        for start in (0, *state.nodes):  # in order, so the longest token that fits is found first
+            token = ranks.get(data[start:])
+            if token is None:
                 continue
-            left = token_at(start)
+            left = nodes[start][1] if start else state.last
             if left is None or self.compatible(left, token):
-                before[n] = start
+                nodes[n] = (start, token)
                 break
-        open_ends = [k for k in before if k == n or data[k:] in self.prefixes]
-        chains = []
-        for k in open_ends:
-            chain = {k}
-            while (k := before[k]) > 0:
-                chain.add(k)
-            chains.append(chain | {0})
-        cut = max(set.intersection(*chains))
-        emitted, k = [], cut
-        while k > 0:
-            emitted.append(self.ranks[data[before[k] : k]])
-            k = before[k]
-        keep = sorted({k for chain in chains for k in chain if k > cut})
-        last = token_at(cut)
-        live = tuple((k - cut, before[k] - cut) for k in keep)
-        key = (last, data[cut:], live)
+        ends = [k for k in nodes if k == n or data[k:] in prefixes]
+        cut, emitted = 0, ()
+        if data not in prefixes:  # else a token may still start where the state starts, and nothing is final
+            through: dict[int, int] = {}
+            for k in ends:
+                while k > 0:
+                    through[k] = through.get(k, 0) + 1
+                    k = nodes[k][0]
+            cut = max((k for k, count in through.items() if count == len(ends)), default=0)
+            ids, k = [], cut
+            while k > 0:
+                k, token = nodes[k]
+                ids.append(token)
+            emitted = tuple(reversed(ids))
+        keep: dict[int, tuple[int, int]] = {}
+        for k in ends:
+            while k > cut and k - cut not in keep:
+                before, token = nodes[k]
+                keep[k - cut] = (before - cut, token)
+                k = before
+        last = nodes[cut][1] if cut else state.last
+        key = (last, data[cut:], tuple(sorted(keep)))
         target = self.states.get(key)
         if target is None:
-            target = self.states[key] = _State(*key)
-        return target, tuple(reversed(emitted))
+            target = self.states[key] = _State(last, data[cut:], dict(sorted(keep.items())))
+        return target, emitted
 
     def _final(self, state: _State) -> tuple[int, ...]:
-        before, ids, k = dict(state.live), [], len(state.pending)
+        ids, k = [], len(state.pending)
         while k > 0:
-            ids.append(self.ranks[state.pending[before[k] : k]])
-            k = before[k]
+            k, token = state.nodes[k]
+            ids.append(token)
         return tuple(reversed(ids))
 
     def word(self, data: bytes) -> tuple[int, ...]:
@@ -161,6 +191,11 @@ class Transducer:
             ids = memo.get(word)
             extend(remember(word) if ids is None else ids)
 
+    def count(self, text: str) -> int:
+        """Number of ids of a text."""
+        memo, remember = self.memo, self._remember
+        return sum(len(remember(word) if (ids := memo.get(word)) is None else ids) for word in self.words.findall(text))
+
     def encode(self, text: str | None) -> list[int]:
         out = array("i")
         if text:
@@ -171,7 +206,7 @@ class Transducer:
         return "".join(stream_decode(self.by_id(), ids))
 
     def by_id(self) -> dict[int, bytes]:
-        return {i: t for t, i in self.ranks.items()}
+        return self.tokens
 
 
 def stream_decode(tokens: dict[int, bytes], ids: Iterable[int]) -> Iterator[str]:
@@ -217,7 +252,8 @@ class Tokenizer:
             return pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
 
         def count_batch(texts: pa.Array) -> pa.Array:
-            return encode_batch(texts).value_lengths()
+            machine = _transducer(shared)
+            return pa.array([machine.count(value) if (value := text.as_py()) else 0 for text in texts], pa.int32())
 
         def decode_batch(ids: pa.Array) -> pa.Array:
             tokens = _transducer(shared).by_id()
