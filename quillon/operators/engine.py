@@ -35,6 +35,7 @@ from quillon.operators.changes import ChangeStore
 from quillon.operators.documents import Document, declare, document_from_values, validate
 from quillon.operators.index import PostingIndex
 from quillon.operators.search import Collection, SearchResult
+from quillon.plans.shipping import ensure_importable
 from quillon.plans.workspace import filesystem, remove
 
 DEFAULT_TABLE, MAX_TABLES = "default", 64
@@ -324,6 +325,7 @@ class Engine:
     _open: dict[str, Table] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        ensure_importable(self.spark)
         for name in self.table_names():
             check_table_name(name)
         if DEFAULT_TABLE not in self.table_names():

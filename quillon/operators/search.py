@@ -19,6 +19,7 @@ from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, format_date, f
 from quillon.operators.index import PostingIndex
 from quillon.operators.sorting import SortKey, check_sort, ordering, parse_sort
 from quillon.plans.compile import Clause, Compiler, Group, Statistics, analyse, needs_all_documents, positive_terms, range_filter, wanted_numbers, wanted_terms
+from quillon.plans.shipping import ensure_importable
 from quillon.plans.syntax import MAX_CLAUSES, Node, parse
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_OFFSET = 10, 100, 1_000_000
@@ -80,6 +81,9 @@ class Collection:
     analysed: DataFrame | None = None
     index: PostingIndex | None = None
 
+    def __post_init__(self) -> None:
+        ensure_importable(self.docs.sparkSession)
+
     @property
     def searchable(self) -> list[str]:
         return sorted(f for f, k in self.kinds.items() if k in (TEXT, KEYWORD))
