@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.articles import live_articles
+from quillon.plans.shipping import ensure_importable
 from quillon.plans.workspace import materialise
 
 # Letters of other alphabets and the Latin letters that look like them.
@@ -143,6 +144,7 @@ def canonical_words(words: DataFrame) -> DataFrame:
 
     Distinct words are counted before the shuffle. Each task holds the distinct words of its share of looks.
     """
+    ensure_importable(words.sparkSession)
     counted = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     # Looks that are in play: those of at least one word beyond ASCII. The others can't change anything.
     looks = counted.where(F.col("word").rlike(_BEYOND_ASCII)).select(_look(F.col("word")).alias("look"), "word", "n")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.plans.shipping import ensure_importable
+
 # Single-byte encodings that UTF-8 is mistaken for, most usual first.
 SINGLE_BYTE = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-15", "cp866", "koi8-r")
 MAX_LAYERS = 5
@@ -467,6 +469,7 @@ def restore_documents(documents: DataFrame) -> DataFrame:
 
     Other rows can't be garbled and need no Python; other columns are ignored.
     """
+    ensure_importable(documents.sparkSession)
     suspects = documents.select("doc_id", "text").where(F.col("text").rlike("[^\\x00-\\x7F]"))
     return suspects.select("doc_id", repaired(F.col("text")).alias("r")).select("doc_id", "r.text", "r.layers", "r.garbled")
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.analysis import term_count
 from quillon.llm.articles import live_articles
+from quillon.plans.shipping import ensure_importable
 
 LIMIT, OVERLAP, BLOCK = 400, 40, 60
 
@@ -107,6 +108,7 @@ def split_articles(articles: DataFrame, limit: int = LIMIT, overlap: int = OVERL
     Title and body are one text, with a blank line between. Only oversized articles go through Python, one
     article at a time.
     """
+    ensure_importable(articles.sparkSession)
     text = F.coalesce(F.concat_ws("\n\n", "title", "body"), F.lit(""))
     terms = term_count(F.col("title")) + term_count(F.col("body"))
     sized = live_articles(articles, "title", "body").select("doc_id", text.alias("text"), terms.alias("n_terms"))
