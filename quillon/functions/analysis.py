@@ -7,6 +7,7 @@ ASCII and lower-cased. Everything here is built from Spark functions, so it stay
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from dataclasses import dataclass
@@ -109,14 +110,15 @@ class StandardAnalyzer:
 
     @property
     def fingerprint(self) -> str:
-        return f"standard/{self.min_length}/{zlib.crc32(' '.join(sorted(self._stop())).encode()):08x}"
+        return f"standard/{self.min_length}/{zlib.crc32(' '.join(sorted(self._stop)).encode()):08x}"
 
+    @functools.cached_property
     def _stop(self) -> set[str]:
         return {fold_text(w.strip()) for w in self.stop_words if w.strip()}
 
     def analyze(self, text: str) -> list[Token]:
         """The terms of a Python string with byte offsets into its UTF-8 form; the same rules as ``tokens``."""
-        stop, found, at, byte = self._stop(), [], 0, 0
+        stop, found, at, byte = self._stop, [], 0, 0
         for pos, m in enumerate(_PY_TOKEN.finditer(text)):
             byte += len(text[at : m.start()].encode())
             size = len(m.group().encode())
@@ -127,7 +129,7 @@ class StandardAnalyzer:
         return found
 
     def _kept(self, term: Column) -> Column:
-        stop = sorted(self._stop())
+        stop = sorted(self._stop)
         long = F.lit(True) if not stop else ~term.isin(stop)
         return F.when(F.char_length(term) >= self.min_length, long).otherwise(term.rlike(f"^[{CJK}]$"))
 
@@ -211,12 +213,16 @@ class ChineseAnalyzer:
             i = best[i][1]
         return out
 
-    def analyze(self, text: str) -> list[Token]:
+    @functools.cached_property
+    def _prepared(self) -> tuple[dict[str, float], int, StandardAnalyzer]:
+        """Log frequencies of the words, the length of the longest, and the analyzer of all other text; made once."""
         total = sum(n for _, n in self.words) or 1
-        weights = {w: math.log(n / total) for w, n in self.words}
-        longest = max(map(len, weights), default=1)
-        standard = StandardAnalyzer(self.min_length, self.stop_words)
-        stop, found, pos, byte = standard._stop(), [], 0, 0
+        weights = {w: math.log(n / total) for w, n in self.words if n > 0}
+        return weights, max(map(len, weights), default=1), StandardAnalyzer(self.min_length, self.stop_words)
+
+    def analyze(self, text: str) -> list[Token]:
+        weights, longest, standard = self._prepared
+        stop, found, pos, byte = standard._stop, [], 0, 0
         for piece in regex.findall(r"\p{Han}+|\P{Han}+", text):
             size = len(piece.encode())
             if not regex.match(r"\p{Han}", piece):

@@ -374,3 +374,45 @@ def streamed_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _register("streamed_changes", streamed_changes, f"{_LIVE} SELECT tbl, external, seq FROM live")
+
+# --- more scalar pieces ---
+
+
+def keyword_terms(spark: SparkSession, folder: str) -> DataFrame:
+    from quillon.functions.analysis import keyword_term
+
+    return table(spark, folder, "documents").select("doc_id", keyword_term(F.col("lang")).alias("lang"), keyword_term(F.col("source")).alias("source"))
+
+
+def idf(spark: SparkSession, folder: str) -> DataFrame:
+    """The inverse document frequency of every (field, term), as Column arithmetic over the index."""
+    index = documents(spark, folder).index
+    sizes = index.fields.select("field", F.col("docs").cast("double").alias("n"))
+    joined = index.lists.join(F.broadcast(sizes), "field")  # a row per field, at most 32
+    return joined.select("field", "term", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
+
+
+def chinese_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles by the Chinese analyzer with a small dictionary."""
+    from quillon.functions.analysis import ChineseAnalyzer
+
+    analyzer = ChineseAnalyzer.from_text("倒排表\n入门\n关于\n分词器\n用法\n索引\n查询\n文档\n用户词表\n用户\n词表\n")
+    return table(spark, folder, "articles").select("doc_id", F.inline(analyzer.tokens(F.col("title"))))
+
+
+def range_and_sort_without_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _scored(documents(spark, folder).search("lang:fr AND n_chars:>1000 AND -source:manual", sort="n_chars:desc,origin", limit=60).ranked)
+
+
+_register("keyword_terms", keyword_terms, "SELECT doc_id, nullif(lower(trim(lang)), '') AS lang, nullif(lower(trim(source)), '') AS source FROM documents")
+_register("idf", idf, f"WITH {_TOKENS}, d AS (SELECT field, term, count(DISTINCT seq) AS df FROM tok GROUP BY ALL) SELECT field, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM d JOIN fs USING (field)")
+_register("limit_clamped", _page("planner quota", limit=10_000), _hits(_or(_term("planner"), _term("quota")), "ORDER BY h.score DESC, seq LIMIT 100"))
+_register("page_beyond_end", _page("planner", offset=1_000_000_000), _hits(_rows("false")))
+_register("nested_boolean", _all_hits('((planner OR quota) AND -index) OR "inverted index"'), _hits(_or(_minus(_or(_term("planner"), _term("quota")), _term("index")), _phrase(("inverted", 0), ("index", 1)))))
+_register("postings_mode_range", _all_hits("planner OR n_chars:<100", mode="postings"), _hits(_or(_term("planner"), _rows("n_chars < 100"))))
+_register(
+    "range_and_sort_without_text",
+    range_and_sort_without_text,
+    _hits(_minus(_and(_term("fr", ("lang",)), _rows("n_chars > 1000")), _term("manual", ("source",))), "ORDER BY n_chars DESC NULLS LAST, origin NULLS LAST, seq LIMIT 60"),
+)
+_register("chinese_tokens", chinese_tokens)
