@@ -5,10 +5,13 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import unicodedata
 from collections import Counter
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillon.functions.analysis import KEEP_ALL
 from quillon.llm import distinctiveness, frequency, lookalikes, near_duplicates, segmentation
@@ -174,6 +177,14 @@ def test_same_looking_titles(spark):
     assert titles[rows[-4][0] if rows[-4][1] == "Жyрнал" else rows[-4][0]] == "Журнал"
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=20))
+def test_table_forms_are_stable(text):
+    form = lookalikes.by_table(text)
+    assert lookalikes.by_table(form) == form
+    assert lookalikes.by_table(unicodedata.normalize("NFD", text)) == lookalikes.by_table(unicodedata.normalize("NFC", text))
+
+
 def test_trie_costs():
     trie = lookalikes.Trie({"cache": 5, "cash": 9, "снимок": 1})
     assert trie.closest("сасhе") == "cache" and trie.closest("ca​che") == "cache"

@@ -190,3 +190,15 @@ def test_repair_of_documents(spark):
     restored = {r.doc_id: (r.text, r.layers) for r in mojibake.restore_documents(frame).collect()}
     assert restored[2] == (GOOD[0], 1) and restored[1] == (GOOD[0], 0) and restored[8] == (GOOD[0] * 2000, 1) and 6 not in restored
     assert mojibake.garbled_documents(documents(spark, [])).count() == 0
+
+
+_SIGNS = "ÃÂâ€™éè¤Ðà°±├®ôÕ┬µ‚ÄÖГ©РёжВ璇枚\ufffd\x80\x9d\xa0"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(_SIGNS + "ab c."), st.characters(codec="utf-8")), max_size=40))
+def test_repair_of_any_text_ends(text):
+    restored, layers = mojibake.repair(text)
+    assert isinstance(restored, str) and 0 <= layers <= mojibake.MAX_LAYERS and (layers > 0 or restored == text)
+    if text.isascii():
+        assert (restored, layers) == (text, 0)
