@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_scratch: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,12 +27,20 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder, removed when the driver's interpreter ends."""
+    """A fresh path under the shared folder; ``clean`` removes it, at the latest when the driver's interpreter ends."""
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove_quietly, spark, path)
+    if not _scratch:
+        atexit.register(_clean_quietly, spark)
+    _scratch.append(path)
     return path
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all scratch paths of this driver. Frames that read from them can't be used any more."""
+    while _scratch:
+        remove(spark, _scratch.pop())
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path``."""
     jvm = spark.sparkContext._jvm
@@ -44,9 +53,9 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop_path, True)
 
 
-def _remove_quietly(spark: SparkSession, path: str) -> None:
+def _clean_quietly(spark: SparkSession) -> None:
     try:
-        remove(spark, path)
+        clean(spark)
     except Exception:  # the JVM may be gone already
         pass
 
