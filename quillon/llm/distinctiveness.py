@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.articles import live_articles, live_ids
+from quillon.plans.workspace import bucketed
 
 K1, B = 1.2, 0.75
 #: A term that holds more than this share of the rows is joined by broadcast: there are at most 1 / HOT of them.
@@ -30,13 +31,13 @@ def scored_terms(articles: DataFrame, postings: DataFrame, field: str = "body")
     """
     usable = postings.where((F.col("field") == field) & F.col("term").isNotNull() & (F.col("tf") > 0)).select("doc_id", "term", "tf")
     counts = usable.join(live_ids(articles), "doc_id", "left_semi").groupBy("doc_id", "term").agg(F.max("tf").cast("double").alias("tf"))
+    counts = bucketed(counts, "doc_id", "term_counts")  # read for every statistic below; sums by document need no shuffle
     n = live_articles(articles, field).where(F.col(field).isNotNull()).agg(F.count("*").cast("double").alias("n"))
-    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
-    total = lengths.agg(F.sum("length").alias("total"), F.count("*"))
+    size = counts.agg(F.count("*").alias("rows"), F.sum("tf").alias("total")).first()
     frequency = counts.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    hot_df = counts.agg(F.count("*") * F.lit(HOT)).scalar()
-    with_df = _join_frequency(counts, frequency.withColumn("hot", F.col("df") > hot_df))
-    weighted = with_df.join(lengths, "doc_id").withColumn("n", n.scalar()).withColumn("average", F.try_divide(total.select("total").scalar(), F.col("n")))
+    lengths = counts.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    with_df = _join_frequency(counts.join(lengths, "doc_id"), frequency.withColumn("hot", F.col("df") > size.rows * HOT))
+    weighted = with_df.withColumn("n", n.scalar()).withColumn("average", F.try_divide(F.lit(size.total), F.col("n")))
     return weighted.select("doc_id", "term", "tf", "df", score(F.col("n"), F.col("df"), F.col("tf"), F.col("length"), F.col("average")).alias("score"))
 
 
@@ -48,8 +49,9 @@ def _join_frequency(counts: DataFrame, frequency: DataFrame) -> DataFrame:
     """
     hot = frequency.where("hot").select("term", F.col("df").alias("hot_df"))
     marked = counts.join(F.broadcast(hot), "term", "left")
-    rest = marked.where("hot_df IS NULL").drop("hot_df").join(frequency.where("NOT hot").select("term", "df"), "term")
-    return rest.select("doc_id", "term", "tf", "df").unionByName(marked.where("hot_df IS NOT NULL").select("doc_id", "term", "tf", F.col("hot_df").alias("df")))
+    columns = ["doc_id", "term", "tf", "length"]
+    rest = marked.where("hot_df IS NULL").select(*columns).join(frequency.where("NOT hot").select("term", "df"), "term")
+    return rest.select(*columns, "df").unionByName(marked.where("hot_df IS NOT NULL").select(*columns, F.col("hot_df").alias("df")))
 
 
 def most_marking_terms(articles: DataFrame, postings: DataFrame, field: str = "body", least_df: int = 2) -> DataFrame:
