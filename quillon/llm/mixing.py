@@ -40,11 +40,13 @@ def allot(total: float, weights: dict[str, float], most: dict[str, float]) -> di
     return share
 
 
-def sized_documents(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``doc_id, source, n_tokens`` of the texts that have a target; tokens are counted once and kept."""
+def sized_documents(documents: DataFrame, sources: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``doc_id, source, n_tokens`` of the texts of ``sources``; tokens are counted once and kept.
+
+    The sources are a filter of the scan, so no source, however large, is gathered anywhere.
+    """
     tokenizer = Tokenizer(documents.sparkSession, vocabulary)
-    wanted = targets.where("source IS NOT NULL").select("source").distinct()
-    with_target = documents.where("doc_id IS NOT NULL").select("doc_id", "text", "source").join(wanted, "source", "left_semi")
+    with_target = documents.where(F.col("doc_id").isNotNull() & F.col("source").isin(sources)).select("doc_id", "text", "source")
     counted = with_target.select("doc_id", "source", tokenizer.count(F.col("text")).cast("long").alias("n_tokens"), F.xxhash64("text").alias("h"))
     one = counted.groupBy("doc_id").agg(F.max_by(F.struct("source", "n_tokens"), F.struct("h", "source")).alias("r"))
     return materialise(one.select("doc_id", "r.source", "r.n_tokens"))
@@ -99,10 +101,10 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
     sources; sums by source are all that reaches the driver.
     """
     spark = documents.sparkSession
-    sized = sized_documents(documents, targets, vocabulary)
     rules = {r.source: r for r in targets.where("source IS NOT NULL").groupBy("source").agg(F.max("weight").alias("weight"), F.max("max_repeats").alias("max_repeats")).collect()}
     weights = {s: max(0.0, r.weight or 0.0) for s, r in rules.items()}
     caps = {s: float(max(0, r.max_repeats if r.max_repeats is not None else 1)) for s, r in rules.items()}
+    sized = sized_documents(documents, sorted(rules), vocabulary)
     sizes = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("count"))
     have = {r.source: r for r in sizes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("tokens"), F.sum("count").alias("docs")).collect()}
     total = float(sum(r.tokens for r in have.values()))
