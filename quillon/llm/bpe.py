@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
+import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -119,42 +121,55 @@ class Transducer:
 
     def _step(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         """The arc of ``state`` for ``byte``: the state it leads to and the ids it emits."""
-        data = state.pending + bytes((byte,))
-        n, ranks, prefixes, nodes = len(data), self.ranks, self.prefixes, dict(state.nodes)
-        for start in (0, *state.nodes):  # in order, so the longest token that fits is found first
+        data, last = state.pending + bytes((byte,)), state.last
+        n, ranks, prefixes, nodes = len(data), self.ranks, self.prefixes, state.nodes
+        made: tuple[int, int] | None = None
+        for start in (0, *nodes):  # in order, so the longest token that fits is found first
             token = ranks.get(data[start:])
-            if token is None:
-                continue
-            left = nodes[start][1] if start else state.last
-            if left is None or self.compatible(left, token):
-                nodes[n] = (start, token)
-                break
-        ends = [k for k in nodes if k == n or data[k:] in prefixes]
-        cut, emitted = 0, ()
-        if data not in prefixes:  # else a token may still start where the state starts, and nothing is final
-            through: dict[int, int] = {}
-            for k in ends:
-                while k > 0:
-                    through[k] = through.get(k, 0) + 1
-                    k = nodes[k][0]
-            cut = max((k for k, count in through.items() if count == len(ends)), default=0)
-            ids, k = [], cut
-            while k > 0:
-                k, token = nodes[k]
-                ids.append(token)
-            emitted = tuple(reversed(ids))
-        keep: dict[int, tuple[int, int]] = {}
+            if token is not None:
+                left = nodes[start][1] if start else last
+                if left is None or self.compatible(left, token):
+                    made = (start, token)
+                    break
+        if data in prefixes:  # a token may still start where the state starts, so nothing is final
+            if (target := self.states.get((last, data))) is None:
+                target = self.states[last, data] = _State(last, data, {**nodes, n: made})
+            return target, ()
+        through: dict[int, int] = {}
+        ends = [k for k in nodes if data[k:] in prefixes]
         for k in ends:
-            while k > cut and k - cut not in keep:
-                before, token = nodes[k]
-                keep[k - cut] = (before - cut, token)
-                k = before
-        last = nodes[cut][1] if cut else state.last
-        key = (last, data[cut:], tuple(sorted(keep)))
-        target = self.states.get(key)
-        if target is None:
-            target = self.states[key] = _State(last, data[cut:], dict(sorted(keep.items())))
-        return target, emitted
+            while k > 0:
+                through[k] = through.get(k, 0) + 1
+                k = nodes[k][0]
+        k = made[0]  # the chain of the new boundary
+        cut = n if not ends else 0
+        while ends and k > 0:
+            if through.get(k, 0) == len(ends):
+                cut = k
+                break
+            k = nodes[k][0]
+        ids, k = [], cut
+        while k > 0:
+            k, token = made if k == n else nodes[k]
+            ids.append(token)
+        if ids:
+            last, rest = ids[0], data[cut:]
+            ids.reverse()
+        else:
+            rest = data
+        if (target := self.states.get((last, rest))) is None:
+            kept = {k - cut: (nodes[k][0] - cut, nodes[k][1]) for k in nodes if k > cut and self._reaches(nodes, k, cut)}
+            if cut < n:
+                kept[n - cut] = (made[0] - cut, made[1])
+            target = self.states[last, rest] = _State(last, rest, kept)
+        return target, tuple(ids)
+
+    @staticmethod
+    def _reaches(nodes: dict[int, tuple[int, int]], k: int, cut: int) -> bool:
+        """Whether the segmentation up to boundary ``k`` has a boundary at ``cut``."""
+        while k > cut:
+            k = nodes[k][0]
+        return k == cut
 
     def _final(self, state: _State) -> tuple[int, ...]:
         ids, k = [], len(state.pending)
@@ -228,10 +243,11 @@ def stream_decode(tokens: dict[int, bytes], ids: Iterable[int]) -> Iterator[str]
 _ready: dict[int, Transducer] = {}
 
 
-def _transducer(shared) -> Transducer:
-    """The worker's transducer for a broadcast vocabulary, made once per Python worker."""
-    if (made := _ready.get(shared.id if hasattr(shared, "id") else id(shared))) is None:
-        made = _ready[shared.id if hasattr(shared, "id") else id(shared)] = Transducer(read_ranks(shared.value))
+def _transducer(shared, key: int) -> Transducer:  # noqa: ANN001
+    """The worker's transducer for a broadcast vocabulary of checksum ``key``, made once per Python worker."""
+    if (made := _ready.get(key)) is None:
+        gc.set_threshold(200_000, 50, 50)  # states are many and long-lived; looking through them often costs a lot
+        made = _ready[key] = Transducer(read_ranks(shared.value))
     return made
 
 
@@ -244,10 +260,11 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, vocabulary: str = DEFAULT_VOCABULARY):
         ensure_importable(spark)
         with open(vocabulary, "rb") as file:
-            shared = spark.sparkContext.broadcast(file.read())
+            data = file.read()
+        shared, key = spark.sparkContext.broadcast(data), zlib.crc32(data)
 
         def encode_batch(texts: pa.Array) -> pa.Array:
-            machine, flat, ends = _transducer(shared), array("i"), [0]
+            machine, flat, ends = _transducer(shared, key), array("i"), [0]
             for text in texts:
                 if (value := text.as_py()) and value:
                     machine.encode_into(value, flat)
@@ -255,11 +272,11 @@ class Tokenizer:
             return pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else np.empty(0, np.int32)))
 
         def count_batch(texts: pa.Array) -> pa.Array:
-            machine = _transducer(shared)
+            machine = _transducer(shared, key)
             return pa.array([machine.count(value) if (value := text.as_py()) else 0 for text in texts], pa.int32())
 
         def decode_batch(ids: pa.Array) -> pa.Array:
-            tokens = _transducer(shared).by_id()
+            tokens = _transducer(shared, key).by_id()
             return pa.array([None if row is None else "".join(stream_decode(tokens, row)) for row in ids.to_pylist()], pa.string())
 
         self._encode = F.arrow_udf(encode_batch, T.ArrayType(T.IntegerType(), False))
