@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -100,6 +101,26 @@ def _term_count(column: str) -> str:
     return rf"coalesce(len(regexp_extract_all({spaced}, '[\p{{L}}\p{{Nd}}]+(?:[''’][\p{{L}}\p{{Nd}}]+)*')), 0)"
 
 
+# Fixed values of the SQL of look-alike titles, written on its own: spaces, ligatures, ignorable characters.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+_IGNORABLE = r"[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FE00}-\x{FE0F}\x{FEFF}]"
+
+
+def _form(column: str) -> str:
+    """A title's look as SQL: ignorable characters out, spaces alike, full-width folded, look-alike letters replaced."""
+    sql = f"regexp_replace({column}, '{_IGNORABLE}', '', 'g')"
+    for ligature, letters in _LIGATURES.items():
+        sql = f"replace({sql}, '{ligature}', '{letters}')"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    letters = {**lookalikes.LOOK_ALIKES, "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï"}
+    letters |= {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0x2F00, 0x2FD6)}  # radicals used as characters
+    for old, new in ((_SPACES, " " * len(_SPACES)), (wide, narrow), ("".join(letters), "".join(letters.values()))):
+        sql = f"translate({sql}, '{old}', '{new}')"
+    return f"nfc_normalize({sql})"
+
+
 _LIVE = "live AS (SELECT DISTINCT doc_id, title, body FROM articles)"
 _SCORES = f"""
 WITH {_LIVE},
@@ -125,6 +146,9 @@ ORACLES: dict[str, str] = {
     "p3_scores": f"{_SCORES} SELECT doc_id, term, score FROM s",
     "p4_found": f"{_FREQUENCIES} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_frequencies": f"{_FREQUENCIES} SELECT field, term, occurrences, df, mark FROM m",
+    "p5_found": f"""
+        WITH f AS (SELECT DISTINCT doc_id, title, {_form("title")} AS form FROM articles WHERE title IS NOT NULL)
+        SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM f a JOIN f b USING (form) WHERE a.doc_id < b.doc_id AND a.title <> b.title""",
     "p6_found": """
         WITH t AS (SELECT DISTINCT doc_id, pos, term FROM tokens WHERE field = 'body' AND doc_id IN (SELECT doc_id FROM articles)),
         r AS (SELECT doc_id, term AS t1, lead(term) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
