@@ -28,6 +28,11 @@ def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     return distinctiveness.scored_terms(table(spark, folder, "articles"), table(spark, folder, "postings")).select("doc_id", "term", "score")
 
 
+def p3_field_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every posting of a live article, titles too; ``p3_scores`` has those of the bodies, as its SQL."""
+    return distinctiveness.scored_postings(table(spark, folder, "articles"), table(spark, folder, "postings")).select("doc_id", "field", "term", "score")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return frequency.marked_terms(table(spark, folder, "tokens"), table(spark, folder, "articles"))
 
@@ -90,7 +95,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_scores, p4_found, p4_frequencies, p5_found, p5_titles, p5_bodies, p5_terms, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_restored)
+    for f in (p2_found, p2_pieces, p3_found, p3_scores, p3_field_scores, p4_found, p4_frequencies, p5_found, p5_titles, p5_bodies, p5_terms, p6_found, p6_classes, p7_ids, p7_roundtrip, p8_mix, p8_shares, p9_found, p9_restored)
 }
 
 _CJK = r"\p{Han}\p{Hiragana}\p{Katakana}"
@@ -132,6 +137,16 @@ d AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
 s AS (SELECT doc_id, term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)), 6) AS score
       FROM p JOIN d USING (term) JOIN dl USING (doc_id), n, a)
 """
+_FIELD_SCORES = f"""
+WITH {_LIVE},
+p AS (SELECT DISTINCT doc_id, field, term, tf FROM postings WHERE doc_id IN (SELECT doc_id FROM live)),
+n AS (SELECT 'title' AS field, count(title)::DOUBLE AS n FROM live UNION ALL SELECT 'body', count(body) FROM live),
+dl AS (SELECT doc_id, field, sum(tf)::DOUBLE AS dl FROM p GROUP BY ALL),
+a AS (SELECT field, n, sum(dl) / n AS average FROM dl JOIN n USING (field) GROUP BY field, n),
+d AS (SELECT field, term, count(*)::DOUBLE AS df FROM p GROUP BY ALL)
+SELECT doc_id, field, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average)), 6) AS score
+FROM p JOIN d USING (field, term) JOIN dl USING (doc_id, field) JOIN a USING (field)
+"""
 _FREQUENCIES = f"""
 WITH {_LIVE},
 t AS (SELECT DISTINCT doc_id, field, pos, term FROM tokens WHERE doc_id IN (SELECT doc_id FROM live)),
@@ -144,6 +159,7 @@ ORACLES: dict[str, str] = {
     "p2_found": f"WITH {_LIVE} SELECT doc_id FROM live WHERE {_term_count('title')} + {_term_count('body')} > 400",
     "p3_found": f"{_SCORES} SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rn FROM s WHERE df >= 2) WHERE rn = 1",
     "p3_scores": f"{_SCORES} SELECT doc_id, term, score FROM s",
+    "p3_field_scores": _FIELD_SCORES,
     "p4_found": f"{_FREQUENCIES} SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p4_frequencies": f"{_FREQUENCIES} SELECT field, term, occurrences, df, mark FROM m",
     "p5_found": f"""

@@ -101,6 +101,23 @@ def test_scores_equal_brute_force(spark, corpus):
     assert {r.doc_id: r.term for r in distinctiveness.most_marking_terms(*frames).collect()} == best
 
 
+def test_every_field_is_scored(spark, corpus):
+    """Titles get scores too, by the statistics of titles; the corpus has terms in both fields."""
+    expected = {}
+    for field, texts in (("title", {d: t for d, t, _ in corpus}), ("body", {d: b for d, _, b in corpus})):
+        docs = {d: Counter(t.term for t in KEEP_ALL.analyze(x or "")) for d, x in texts.items()}
+        n = sum(x is not None for x in texts.values())
+        average = sum(c.total() for c in docs.values()) / n
+        df = Counter(w for c in docs.values() for w in c)
+        for d, c in docs.items():
+            expected |= {(d, field, w): math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * c.total() / average)) for w, tf in c.items()}
+    rows = distinctiveness.scored_postings(articles(spark, corpus), postings(spark, corpus)).collect()
+    found = {(r.doc_id, r.field, r.term): r.score for r in rows}
+    assert len(rows) == len(found) and found.keys() == expected.keys() and {f for _, f, _ in found} == {"title", "body"}
+    assert all(abs(found[k] - v) < 2e-6 for k, v in expected.items())
+    assert {(64, "title", "two"), (64, "body", "two")} <= found.keys() and found[64, "title", "two"] != found[64, "body", "two"]
+
+
 @pytest.mark.parametrize("hot", [0.0, 0.02, 1.0])
 def test_hot_terms_join_alike(spark, corpus, hot, monkeypatch):
     frames = articles(spark, corpus), postings(spark, corpus)
