@@ -2,8 +2,10 @@
 
 Between two sentences or lines the words before and after are compared: the cosine of the term counts of a block on
 either side. Where this similarity has a valley, the topic changes. Each piece ends at the deepest valley within its
-size window; the next piece begins with the last terms of the one before. Where a window has no natural boundary,
-the piece is cut at the limit.
+size window, the later of equal ones; the next piece begins with the last terms of the one before. Every boundary of
+the window counts that leaves the piece more terms of its own than ``overlap``. Only if there is none, the piece ends at
+an earlier one (the first piece has ``overlap`` terms at least, as the next one repeats them). Where a window has no
+such boundary either, the piece is cut at the limit.
 
 Defined cases: a null title or body has no terms; an article of up to ``limit`` terms is one piece, one without any
 terms is one piece without terms; repeated rows count once; the text is kept whole (the parts after the overlaps
@@ -91,9 +93,9 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int
         if n - start <= room:
             end = n
         else:
-            low, high = np.searchsorted(cuts, [start + max(1, room // 2), start + room + 1])
+            first_cut, low, high = np.searchsorted(cuts, [max(start + 1, overlap), start + min(overlap + 1, room), start + room + 1])
             if low == high:
-                low = np.searchsorted(cuts, start + max(overlap, room // 8))
+                low = first_cut  # only early boundaries, if any
             end = int(cuts[high - 1 - int(np.argmax(score[low:high][::-1]))]) if low < high else start + room
         first = start - back
         begin = 0 if first == 0 else spans[first][0]

@@ -171,6 +171,19 @@ def test_pieces(spark):
     assert {r.first_term + r.n_terms for r in pieces[3][:-1]} <= {180 * k for k in range(1, 7)}
 
 
+def test_pieces_end_at_the_deepest_valley_of_the_whole_window():
+    sentences = lambda topic, n: " ".join(" ".join(f"{topic}{k}" for k in range(10)) + "." for _ in range(n))
+    for early in (50, 100, 150):  # a topic change in the first half, only sentence ends of one topic in the second
+        pieces = segmentation.split_text(sentences("a", early // 10) + " " + sentences("b", 60))
+        assert pieces[0].end == early and pieces[1].overlap == 40
+    long = " ".join(f"b{k % 10}" for k in range(1000))
+    pieces = segmentation.split_text(sentences("a", 20) + " " + sentences("b", 2) + " " + long)
+    assert [p.end for p in pieces[:4]] == [200, 210, 220, 580]  # early sentence ends before a cut inside a sentence
+    assert [p.overlap for p in pieces[:4]] == [0, 40, 40, 40] and all(p.end - p.first <= 400 for p in pieces)
+    pieces = segmentation.split_text("a b. " + long, limit=50, overlap=40)
+    assert all(p.end - p.first <= 50 and p.overlap == (40 if k else 0) for k, p in enumerate(pieces)) and pieces[-1].end == 1002
+
+
 def test_pieces_of_a_very_long_text():
     pieces = segmentation.split_text("same words again. " * 40_000)
     assert all(p.end - p.first <= 400 for p in pieces) and pieces[-1].end == 120_000
