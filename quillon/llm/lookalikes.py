@@ -1,10 +1,11 @@
 """Bringing text that looks the same to one form.
 
 The words of a collection are its vocabulary. A word that is written in plain characters of one alphabet is a
-canonical spelling. Any other word is matched against the canonical spellings: a weighted edit automaton walks their
-trie, where look-alike characters, presentation forms and ignorable characters cost nothing and all else costs 1;
-within a budget of 0 it reaches just the spellings that look the same. One in ASCII is
-chosen, else the most frequent of them; a word that matches none is normalised by table.
+canonical spelling. Any other word is matched against the canonical spellings: a weighted edit automaton reads its
+characters as they are and walks the trie of the spellings, where arcs of look-alike characters, presentation forms and
+ignorable characters cost nothing and all else costs 1; within a budget of 0 it reaches just the spellings that look
+the same. One in ASCII is chosen, else the most frequent of them; a word that matches none is normalised by table. The
+table also says which words go to one task: those that the automaton could match.
 
 Words of one look always get one form, so texts look the same exactly if their forms are equal. Defined cases: null
 stays null, empty stays empty; case, accents, hyphens, digits and the presence of a space are never changed.
@@ -40,6 +41,12 @@ _BEYOND_ASCII = "[^\\x00-\\x7F]"
 @functools.lru_cache(100_000)
 def units(char: str) -> str:
     """What a character looks like, decomposed; empty for ignorable characters."""
+    return "".join(LOOK_ALIKES.get(c, c) for c in pieces(char))
+
+
+@functools.lru_cache(100_000)
+def pieces(char: str) -> str:
+    """A character decomposed, its letters as they are; empty for ignorable characters."""
     category = unicodedata.category(char)
     if category == "Cf" or "︀" <= char <= "️" or char in "͏ᅟᅠ឴឵ㅤﾠ":
         return ""
@@ -48,9 +55,8 @@ def units(char: str) -> str:
     mapping = unicodedata.decomposition(char)
     if mapping and not mapping.startswith(_OTHER_LOOK):
         plain = "".join(chr(int(x, 16)) for x in mapping.split() if not x.startswith("<"))
-        return "".join(map(units, plain))
-    hangul = unicodedata.normalize("NFD", char)
-    return "".join(LOOK_ALIKES.get(c, c) for c in hangul)
+        return "".join(map(pieces, plain))
+    return unicodedata.normalize("NFD", char)  # Hangul
 
 
 def by_table(text: str) -> str:
@@ -75,6 +81,11 @@ def is_plain(word: str) -> bool:
     return len({_alphabet(c) for c in word if c.isalpha()} - {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA"}) <= 1
 
 
+def _arcs(word: str) -> list[tuple[str, ...]]:
+    """What each piece of a word may be read as at no cost: a letter of its look, or nothing if it is ignorable."""
+    return [(LOOK_ALIKES.get(p, p),) if p else ("",) for c in word for p in pieces(c) or ("",)]
+
+
 class Trie:
     """The canonical spellings as a trie over what they look like: a sorted list, a node being a range of it."""
 
@@ -82,14 +93,15 @@ class Trie:
         rows = sorted(("".join(map(units, w)), not w.isascii(), -n, w) for w, n in spellings.items())
         self.keys = [r[0] for r in rows]
         self.words = [r[3] for r in rows]
+        self.ranks = [r[1:] for r in rows]
 
     def _child(self, low: int, high: int, prefix: str) -> tuple[int, int]:
         return bisect_left(self.keys, prefix, low, high), bisect_left(self.keys, prefix + "\U0010ffff", low, high)
 
     def closest(self, word: str, budget: int = 0) -> str | None:
-        """The spelling of the least edit cost within ``budget``, the most frequent of several; None if there is none."""
-        goal = "".join(map(units, word))  # look-alikes and ignorables of the input cost nothing
-        best: tuple[int, int] | None = None
+        """The spelling of the least edit cost within ``budget``, in ASCII or the most frequent of several; None if there is none."""
+        arcs = _arcs(word)
+        best: tuple[int, tuple, int] | None = None
         stack = [(0, 0, len(self.keys), "", 0)]
         seen: set[tuple[int, str, int]] = set()
         while stack:
@@ -97,18 +109,19 @@ class Trie:
             if low >= high or (at, prefix, cost) in seen:
                 continue
             seen.add((at, prefix, cost))
-            if at == len(goal) and self.keys[low] == prefix and (best is None or (cost, low) < best):
-                best = (cost, low)
-            if at < len(goal):
-                stack.append((at + 1, *self._child(low, high, prefix + goal[at]), prefix + goal[at], cost))
+            if at == len(arcs) and self.keys[low] == prefix and (best is None or (cost, self.ranks[low]) < best[:2]):
+                best = (cost, self.ranks[low], low)
+            if at < len(arcs):
+                for unit in arcs[at]:
+                    stack.append((at + 1, *(self._child(low, high, prefix + unit) if unit else (low, high)), prefix + unit, cost))
             if cost < budget:
-                stack.append((at + 1, low, high, prefix, cost + 1)) if at < len(goal) else None
+                stack.append((at + 1, low, high, prefix, cost + 1)) if at < len(arcs) else None
                 for nxt in {k[len(prefix)] for k in self.keys[low:high] if len(k) > len(prefix)}:
                     step = (*self._child(low, high, prefix + nxt), prefix + nxt, cost + 1)
                     stack.append((at, *step))
-                    if at < len(goal) and nxt != goal[at]:
+                    if at < len(arcs) and nxt not in arcs[at]:
                         stack.append((at + 1, *step))
-        return self.words[best[1]] if best else None
+        return self.words[best[2]] if best else None
 
 
 def _look(word: Column) -> Column:

@@ -224,6 +224,17 @@ def test_trie_costs():
     assert trie.closest("Cache") is None and lookalikes.Trie({}).closest("a") is None
 
 
+def test_automaton_reads_the_characters_as_they_are(monkeypatch):
+    """Arcs for look-alikes, presentation forms and ignorables; nothing but the arcs says what is alike."""
+    trie = lookalikes.Trie({"cache": 5, "coffee": 2, "zoë": 1})
+    monkeypatch.setattr(lookalikes, "units", None)  # the walk normalises nothing
+    assert trie.closest("с​а\u00adсhе") == "cache" and trie.closest("ｃoﬀee") == "coffee" and trie.closest("zoe\u0308\ufeff") == "zoë"
+    assert trie.closest("zoe") is None and trie.closest("саxhе", budget=1) == "cache" and trie.closest("с​chе") is None
+    assert trie.closest("с​chе", budget=1) == "cache"
+    monkeypatch.setattr(lookalikes, "LOOK_ALIKES", {})
+    assert trie.closest("сасhе") is None and trie.closest("cache") == "cache"
+
+
 def test_empty_tables(spark):
     nothing = articles(spark, []), tokens(spark, []).where("doc_id < 0"), postings(spark, []).where("doc_id < 0")
     some = [(1, "a b c d", "a b c d")]
