@@ -7,6 +7,10 @@ ignorable characters cost nothing and all else costs 1; within a budget of 0 it
 the same. One in ASCII is chosen, else the most frequent of them; a word that matches none is normalised by table. The
 table also says which words go to one task: those that the automaton could match.
 
+In text in lower case (``lowered``) a look-alike capital has become the small letter of its alphabet, which looks
+different. Where a word is of mixed alphabets and matches no spelling, such letters may stand for those of the capital;
+only a spelling that the vocabulary has is chosen. A small nu is read as v, as it looks, else as n.
+
 Words of one look always get one form, so texts look the same exactly if their forms are equal. Defined cases: null
 stays null, empty stays empty; case, accents, hyphens, digits and the presence of a space are never changed.
 """
@@ -31,6 +35,8 @@ LOOK_ALIKES = dict(zip(
     "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρα" "օսհ" "ɑɡ",
     "ABESIJKMHOPCTYXaeopcyxsijhdqw" "ABEZHIKMNOPTYXovpa" "ouh" "ag",
 ))
+# Small forms of capitals that look alike, as they come in text in lower case. Not the small mu: it is the micro sign's form.
+SMALL_CAPITALS = {c.lower(): latin.lower() for c, latin in LOOK_ALIKES.items() if c.isupper() and LOOK_ALIKES.get(c.lower()) != latin.lower() and c != "Μ"}
 # Compatibility forms that look different from what they decompose to.
 _OTHER_LOOK = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>")
 _SPACES = r"[\p{Zs}\t]"
@@ -78,12 +84,26 @@ def is_plain(word: str) -> bool:
         return False
     if any(unicodedata.decomposition(c).startswith("<") for c in word):
         return False
-    return len({_alphabet(c) for c in word if c.isalpha()} - {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA"}) <= 1
+    return not _mixed(word)
+
+
+def _mixed(word: str) -> bool:
+    return len({_alphabet(c) for c in word if c.isalpha()} - {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA"}) > 1
 
 
-def _arcs(word: str) -> list[tuple[str, ...]]:
+def _arcs(word: str, lowered: bool = False) -> list[tuple[str, ...]]:
     """What each piece of a word may be read as at no cost: a letter of its look, or nothing if it is ignorable."""
-    return [(LOOK_ALIKES.get(p, p),) if p else ("",) for c in word for p in pieces(c) or ("",)]
+    arcs = [(p, (LOOK_ALIKES.get(p, p),) if p else ("",)) for c in word for p in pieces(c) or ("",)]
+    return [a + (SMALL_CAPITALS[p],) if lowered and p in SMALL_CAPITALS else a for p, a in arcs]
+
+
+# Letters that a small form may be read as, and what stands for them where words are put together.
+_TOGETHER = {**SMALL_CAPITALS, **{LOOK_ALIKES[c]: latin for c, latin in SMALL_CAPITALS.items() if c in LOOK_ALIKES}}
+
+
+def _key(look: Column, lowered: bool) -> Column:
+    """Words of one key are in one task: those of one look, in text in lower case also those that small forms may stand for."""
+    return F.translate(look, "".join(_TOGETHER), "".join(_TOGETHER.values())) if lowered else look
 
 
 class Trie:
@@ -98,9 +118,9 @@ class Trie:
     def _child(self, low: int, high: int, prefix: str) -> tuple[int, int]:
         return bisect_left(self.keys, prefix, low, high), bisect_left(self.keys, prefix + "\U0010ffff", low, high)
 
-    def closest(self, word: str, budget: int = 0) -> str | None:
+    def closest(self, word: str, budget: int = 0, lowered: bool = False) -> str | None:
         """The spelling of the least edit cost within ``budget``, in ASCII or the most frequent of several; None if there is none."""
-        arcs = _arcs(word)
+        arcs = _arcs(word, lowered)
         best: tuple[int, tuple, int] | None = None
         stack = [(0, 0, len(self.keys), "", 0)]
         seen: set[tuple[int, str, int]] = set()
@@ -136,8 +156,15 @@ def words_of(text: Column) -> Column:
     return F.split(text, _SPACES, -1)
 
 
-def _canonical_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word, form`` of a task's words that change; all words of one look are in the same task."""
+def _form(trie: Trie, word: str, lowered: bool) -> str:
+    form = trie.closest(word)
+    if form is None and lowered and (_mixed(word) or _mixed(by_table(word))):
+        form = trie.closest(word, lowered=True)
+    return form or by_table(word)
+
+
+def _canonical_part(batches: Iterator[pa.RecordBatch], lowered: bool = False) -> Iterator[pa.RecordBatch]:
+    """``word, form`` of a task's words that change; all words of one key are in the same task."""
     plain: dict[str, int] = {}
     others: list[str] = []
     for batch in batches:
@@ -147,24 +174,26 @@ def _canonical_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if not word.isascii():
                 others.append(word)
     trie = Trie(plain)
-    forms = [(w, trie.closest(w) or by_table(w)) for w in others]
+    forms = [(w, _form(trie, w, lowered)) for w in others]
     forms = [(w, f) for w, f in forms if w != f]
     yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in forms], pa.string()), pa.array([f for _, f in forms], pa.string())], ["word", "form"])
 
 
-def canonical_words(words: DataFrame) -> DataFrame:
+def canonical_words(words: DataFrame, lowered: bool = False) -> DataFrame:
     """``word, form`` of the words whose form is another, from a frame with one ``word`` per occurrence.
 
+    ``lowered``: the words are stored in lower case, as terms are.
+
     Distinct words are counted before the shuffle. Each task holds the distinct words of its share of looks.
     """
     ensure_importable(words.sparkSession)
     counted = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     # Looks that are in play: those of at least one word beyond ASCII. The others can't change anything.
-    looks = counted.where(F.col("word").rlike(_BEYOND_ASCII)).select(_look(F.col("word")).alias("look"), "word", "n")
-    ascii_words = counted.where(~F.col("word").rlike(_BEYOND_ASCII)).select(F.col("word").alias("look"), "word", "n")
+    looks = counted.where(F.col("word").rlike(_BEYOND_ASCII)).select(_key(_look(F.col("word")), lowered).alias("look"), "word", "n")
+    ascii_words = counted.where(~F.col("word").rlike(_BEYOND_ASCII)).select(_key(F.col("word"), lowered).alias("look"), "word", "n")
     matching = ascii_words.join(looks.select("look").distinct(), "look", "left_semi")
     together = looks.unionByName(matching).repartition("look")
-    return together.select("word", "n").mapInArrow(_canonical_part, "word STRING, form STRING")
+    return together.select("word", "n").mapInArrow(functools.partial(_canonical_part, lowered=lowered), "word STRING, form STRING")
 
 
 def canonical_texts(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,7 +56,7 @@ def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "tokens").where(F.col("term").isNotNull()).select(F.col("term").alias("word"))
-    return lookalikes.canonical_words(words)
+    return lookalikes.canonical_words(words, lowered=True)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

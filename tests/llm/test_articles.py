@@ -235,6 +235,15 @@ def test_automaton_reads_the_characters_as_they_are(monkeypatch):
     assert trie.closest("сасhе") is None and trie.closest("cache") == "cache"
 
 
+def test_look_alike_capitals_in_lower_case(spark):
+    words = ["the", "the", "how", "kuvaduga", "zuhesefo", "now", "value", "ms", "тема", "tema"]
+    odd = {"τhe": "the", "тhe": "the", "нow": "how", "кuvаduga": "kuvaduga", "ζuhesefо": "zuhesefo", "ζuhesefo": "zuhesefo", "νow": "now", "νalue": "value"}
+    same = ["тone", "μs", "тема", "τ"]  # not in the vocabulary, the micro sign's mu, one alphabet
+    frame = spark.createDataFrame([(w,) for w in (*words, *odd, *same, "µs")], "word string").repartition(4)
+    assert {r.word: r.form for r in lookalikes.canonical_words(frame, lowered=True).collect()} == odd | {"µs": "μs"}
+    assert {r.word for r in lookalikes.canonical_words(frame).collect()} == {"νalue", "кuvаduga", "ζuhesefо", "νow", "µs"}
+
+
 def test_empty_tables(spark):
     nothing = articles(spark, []), tokens(spark, []).where("doc_id < 0"), postings(spark, []).where("doc_id < 0")
     some = [(1, "a b c d", "a b c d")]
