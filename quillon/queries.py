@@ -198,15 +198,21 @@ def token_positions(spark: SparkSession, folder: str) -> DataFrame:
 _register("token_positions", token_positions, f"SELECT seq, term, pos FROM ({_numbered('documents', 'doc_id', 'text')}) WHERE {_KEEP}")
 
 
-def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
-    """Byte offsets of the words of titles and bodies, for all those whose offsets the table of tokens has."""
+def made_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte offsets of every word of titles and bodies, also of those that the table of tokens has no offsets for."""
     articles = table(spark, folder, "articles").select("doc_id", "title", "body").dropDuplicates(["doc_id"])
     fields = F.array(*(F.struct(F.lit(f).alias("field"), KEEP_ALL.offsets(F.col(f)).alias("t")) for f in ("title", "body")))
     made = articles.select("doc_id", F.inline(fields)).select("doc_id", "field", F.inline("t"))
+    return made.select("doc_id", "field", "pos", "term", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
+
+
+def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Those of ``made_offsets`` that the table of tokens has too, for the comparison with it."""
     stored = table(spark, folder, "tokens").where("start_byte IS NOT NULL AND end_byte IS NOT NULL").select("doc_id", "field", "pos").distinct()
-    return made.join(stored, ["doc_id", "field", "pos"], "left_semi").select("doc_id", "field", "pos", "term", F.col("start").alias("start_byte"), F.col("end").alias("end_byte"))
+    return made_offsets(spark, folder).join(stored, ["doc_id", "field", "pos"], "left_semi")
 
 
+_register("made_offsets", made_offsets)
 _register(
     "token_offsets",
     token_offsets,

@@ -21,3 +21,28 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["seq", "score"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+TEXTS = [(1, "Zoë’s index", "全文 search, ＧＯ lang"), (2, None, "don’t stop"), (3, "", None)]
+
+
+def _tables(spark, folder):
+    """Articles, each twice, and their tokens without offsets but for one."""
+    from quillon.functions.analysis import KEEP_ALL
+
+    found = [(d, f, t.pos, t.term, t.start, t.end) for d, title, body in TEXTS for f, x in (("title", title), ("body", body)) for t in KEEP_ALL.analyze(x or "")]
+    spark.createDataFrame(TEXTS * 2, "doc_id long, title string, body string").write.parquet(f"{folder}/articles.parquet")
+    stored = [(*r[:4], *(r[4:] if k == 0 else (None, None))) for k, r in enumerate(found)]
+    spark.createDataFrame(stored, "doc_id long, field string, pos int, term string, start_byte int, end_byte int").write.parquet(f"{folder}/tokens.parquet")
+    return found
+
+
+def test_offsets_are_made_for_every_token(spark, tmp_path):
+    """Also for those whose stored offsets are null."""
+    found = _tables(spark, str(tmp_path))
+    rows = QUERIES["made_offsets"](spark, str(tmp_path)).select("doc_id", "field", "pos", "term", "start_byte", "end_byte").collect()
+    assert len(found) > 8 and sorted(map(tuple, rows)) == sorted(found)
+    texts = {(d, f): x for d, title, body in TEXTS for f, x in (("title", title), ("body", body))}
+    cut = {(r.field, r.pos): texts[r.doc_id, r.field].encode()[r.start_byte : r.end_byte].decode() for r in rows if r.doc_id == 1}
+    assert cut == {("title", 0): "Zoë’s", ("title", 1): "index", ("body", 0): "全", ("body", 1): "文", ("body", 2): "search", ("body", 3): "ＧＯ", ("body", 4): "lang"}
+    assert QUERIES["token_offsets"](spark, str(tmp_path)).count() == 1
