@@ -398,12 +398,16 @@ def idf(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("field", "term", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-def chinese_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles by the Chinese analyzer with a small dictionary."""
+CHINESE_WORDS = "倒排表\n入门\n关于\n分词器\n用法\n索引\n查询\n文档\n用户词表\n用户\n词表\n"
+
+
+def chinese_tokens(spark: SparkSession, folder: str, words: str = CHINESE_WORDS) -> DataFrame:
+    """Titles and bodies by the Chinese analyzer with a small dictionary."""
     from quillon.functions.analysis import ChineseAnalyzer
 
-    analyzer = ChineseAnalyzer.from_text("倒排表\n入门\n关于\n分词器\n用法\n索引\n查询\n文档\n用户词表\n用户\n词表\n")
-    return table(spark, folder, "articles").select("doc_id", F.inline(analyzer.tokens(F.col("title"))))
+    analyzer = ChineseAnalyzer.from_text(words)
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), analyzer.tokens(F.col(f)).alias("t")) for f in ("title", "body")))
+    return table(spark, folder, "articles").select("doc_id", F.inline(fields)).select("doc_id", "field", F.inline("t"))
 
 
 def range_and_sort_without_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,3 +46,16 @@ def test_offsets_are_made_for_every_token(spark, tmp_path):
     cut = {(r.field, r.pos): texts[r.doc_id, r.field].encode()[r.start_byte : r.end_byte].decode() for r in rows if r.doc_id == 1}
     assert cut == {("title", 0): "Zoë’s", ("title", 1): "index", ("body", 0): "全", ("body", 1): "文", ("body", 2): "search", ("body", 3): "ＧＯ", ("body", 4): "lang"}
     assert QUERIES["token_offsets"](spark, str(tmp_path)).count() == 1
+
+
+def test_chinese_tokens_of_titles_and_bodies(spark, tmp_path):
+    from quillon.functions.analysis import ChineseAnalyzer
+    from quillon.queries import CHINESE_WORDS
+
+    _tables(spark, str(tmp_path))
+    for words in (CHINESE_WORDS, "全文\n"):
+        analyzer = ChineseAnalyzer.from_text(words)
+        expected = [(d, f, t.term, t.pos) for d, title, body in TEXTS * 2 for f, x in (("title", title), ("body", body)) for t in analyzer.analyze(x or "")]
+        rows = QUERIES["chinese_tokens"](spark, str(tmp_path), words).select("doc_id", "field", "term", "pos").collect()
+        assert sorted(map(tuple, rows)) == sorted(expected) and {r.field for r in rows} == {"title", "body"}
+    assert (1, "body", "全文", 0) in map(tuple, rows)
