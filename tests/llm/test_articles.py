@@ -12,6 +12,7 @@ from datetime import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.functions.analysis import KEEP_ALL
 from quillon.llm import distinctiveness, frequency, lookalikes, near_duplicates, segmentation
@@ -126,7 +127,7 @@ def test_hot_terms_join_alike(spark, corpus, hot, monkeypatch):
     assert {tuple(r) for r in distinctiveness.scored_terms(*frames).collect()} == plain
 
 
-@pytest.mark.parametrize(("limit", "bits"), [(2_000_000, 6), (50, 2), (1, 1)])
+@pytest.mark.parametrize(("limit", "bits"), [(500_000, 6), (50, 2), (1, 4)])
 def test_frequencies_equal_brute_force(spark, corpus, limit, bits):
     """Also with parts so small that they are split many times, and hot terms by documents."""
     uses, docs = Counter(), Counter()
@@ -143,6 +144,62 @@ def test_frequencies_equal_brute_force(spark, corpus, limit, bits):
     assert {r.mark for r in rows} == {"rare", "common", None}
 
 
+def _files(folder):
+    import pathlib
+
+    return sorted(pathlib.Path(folder).rglob("part=*/*.parquet"))
+
+
+def test_parts_shrink_until_they_fit(spark, monkeypatch):
+    """Parts split below their own place: each level is smaller, each row is kept once, and only hot terms have many rows."""
+    roots = []
+    monkeypatch.setattr(frequency, "scratch_path", lambda s, label, make=frequency.scratch_path: roots.append(make(s, label)) or roots[-1])
+    terms, hot, limit, bits = 20_000, 5_000, 60, 2
+    rows = spark.range(terms).select(F.lit("body").alias("field"), F.concat(F.lit("t"), "id").alias("term"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(spark.range(hot).select(F.lit("body").alias("field"), F.lit("hot").alias("term"), F.col("id").alias("doc_id"), F.lit(2).cast("long").alias("n")))
+    parts = frequency.radix_parts(spark, rows, limit, bits)
+    sizes = {r.part: (r.rows, r.terms) for r in parts.groupBy("part").agg(F.count("*").alias("rows"), F.countDistinct("term").alias("terms")).collect()}
+    assert sum(n for n, _ in sizes.values()) == terms + hot == parts.select("term", "doc_id").distinct().count()
+    assert all(t <= 1.25 * limit for _, t in sizes.values()) and sum(n > limit + hot // 2 for n, _ in sizes.values()) == 1
+    levels = {p.count("-") for p in sizes}
+    assert max(levels) <= math.ceil(math.log(terms / limit, 1 << bits)) + 1 and max(levels) >= 3
+    for p, (_, t) in sizes.items():  # a part lies at a level only because the one above was too large
+        if "-" in p:
+            above = p.rpartition("-")[0]
+            assert sum(x for q, (_, x) in sizes.items() if q.startswith(above + "-")) > 0.75 * limit
+    assert spark.read.parquet(*map(str, _files(roots[0].removeprefix("file:")))).count() == terms + hot
+
+
+def test_parts_are_aggregated_apart_and_in_chunks(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted((f"p{rng.randrange(5)}", "body", f"t{rng.randrange(300)}", rng.randrange(1, 4)) for _ in range(3000))
+    whole = pa.table({"field": [r[1] for r in rows], "term": [r[2] for r in rows], "n": pa.array([r[3] for r in rows], pa.int64()), "part": [r[0] for r in rows]})
+    expected = Counter()
+    for _, f, t, n in rows:
+        expected[f, t] += n
+    monkeypatch.setattr(frequency, "CHUNK_ROWS", 256)
+    for spill in (str(tmp_path), ""):
+        found, df = Counter(), Counter()
+        for batch in frequency._aggregate_parts(iter(whole.to_batches(max_chunksize=100)), spill):
+            for r in batch.to_pylist():
+                found[r["field"], r["term"]] += r["occurrences"]
+                df[r["term"]] += r["df"]
+        assert found == expected and df.total() == len(rows)
+    assert list(frequency._aggregate_parts(iter([]), "")) == []
+
+
+def test_memory_for_two_million_terms_without_a_spill_folder():
+    import pyarrow as pa
+
+    def batches():
+        for k in range(0, 2_000_000, 10_000):
+            yield pa.RecordBatch.from_pydict({"field": ["body"] * 10_000, "term": [f"a longer term of the corpus {i}" for i in range(k, k + 10_000)], "n": pa.array([1] * 10_000, pa.int64()), "part": ["x"] * 10_000})
+
+    assert sum(b.num_rows for b in frequency._aggregate_parts(batches(), "")) == 2_000_000
+
+
 def test_pieces(spark):
     rng = random.Random(3)
     topics = [[f"t{k}x{i}" for i in range(30)] for k in range(6)]
