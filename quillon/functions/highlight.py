@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -22,35 +23,35 @@ class Highlighter:
     max_length: int = 160
 
     def snippet(self, text: str, terms: set[str], analyzer) -> str:
-        """The snippet of a text, or "" if none of the (analysed) terms is in it."""
-        matches = [(t.start, t.end) for t in analyzer.analyze(text) if t.term in terms] if terms else []
-        if not matches:
+        """The snippet of a text, or "" if none of the (analysed) terms is in it.
+
+        The window and the marked words cut the text into pieces that are plain and marked by turns; a word that
+        lies over an edge of the window, or over one that is marked already, is no piece of its own.
+        """
+        spans = [range(t.start, t.end) for t in analyzer.analyze(text) if t.term in terms] if terms else []
+        if not spans:
             return ""
         data = text.encode()
-        low, high = self._window(data, matches[0][0])
-        out, at = [ELLIPSIS] if low > 0 else [], low
-        escaped = lambda a, b: data[a:b].decode().translate(_TABLE)
-        for start, end in matches:
-            if start >= at and end <= high:
-                out += [escaped(at, start), self.pre, escaped(start, end), self.post]
-                at = end
-        out.append(escaped(at, high))
-        return "".join(out) + (ELLIPSIS if high < len(data) else "")
+        window = self._window(data, spans[0].start)
+        edges = [window.start]
+        for span in spans:
+            if edges[-1] <= span.start and span.stop <= window.stop:
+                edges += [span.start, span.stop]
+        edges.append(window.stop)
+        pieces = [data[i:j].decode().translate(_TABLE) for i, j in pairwise(edges)]
+        pieces[1::2] = [f"{self.pre}{p}{self.post}" for p in pieces[1::2]]
+        ends = [ELLIPSIS if cut else "" for cut in (window.start > 0, window.stop < len(data))]
+        return "".join(pieces).join(ends)
 
-    def _window(self, data: bytes, first: int) -> tuple[int, int]:
-        size = len(data)
-        if self.max_length <= 0 or size <= self.max_length:
-            return 0, size
-        low = max(0, first - self.max_length // 4)
-        high = low + self.max_length
-        if high > size:
-            low, high = max(0, size - self.max_length), size
-        inside = lambda i: 0 < i < size and data[i] & 0xC0 == 0x80
-        while inside(low):
-            low -= 1
-        while inside(high):
-            high += 1
-        return low, high
+    def _window(self, data: bytes, first: int) -> range:
+        """The bytes to show: a quarter of the length before the first match, as far as the text allows, in whole characters."""
+        size, most = len(data), self.max_length
+        if most <= 0 or size <= most:
+            return range(size)
+        start = max(0, min(first - most // 4, size - most))
+        # Decoding drops the bytes of a character that was cut: the window takes in all of it.
+        before, after = (len(part.decode(errors="ignore").encode()) for part in (data[:start], data[start + most :]))
+        return range(before, size - after)
 
     def column(self, text: Column, terms: list[str], analyzer) -> Column:
         """``snippet`` for a column; meant for the rows of one page, after ranking."""

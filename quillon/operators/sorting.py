@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -19,21 +20,21 @@ class SortKey:
     descending: bool = False
 
 
+# A key: a name, then perhaps a colon and a direction.
+_KEY = re.compile(r"\s*(?P<name>[^:]*?)\s*(?::\s*(?P<direction>.*?)\s*)?", re.DOTALL)
+_DESCENDING = {None: False, "": False, "asc": False, "desc": True}
+
+
 def parse_sort(spec: str | None) -> list[SortKey]:
     """``field``, ``field:asc`` or ``field:desc``, comma-separated; ascending by default."""
-    keys = []
-    for part in (spec or "").split(","):
-        name, _, direction = (x.strip() for x in part.strip().partition(":"))
-        if not part.strip():
-            continue
-        if not name:
-            raise BadSortField(f"{part!r} names no field")
-        if direction.lower() not in ("", "asc", "desc"):
-            raise BadSortField(f"{direction!r} is neither asc nor desc")
-        keys.append(SortKey(name, direction.lower() == "desc"))
-    if len(keys) > MAX_KEYS:
-        raise TooManySortKeys(f"{len(keys)} sort keys; at most {MAX_KEYS}")
-    return keys
+    found = [(m["name"], m["direction"] and m["direction"].lower()) for m in map(_KEY.fullmatch, (spec or "").split(",")) if m.group().strip()]
+    if any(not name for name, _ in found):
+        raise BadSortField(f"a key of {spec!r} names no field")
+    if wrong := [d for _, d in found if d not in _DESCENDING]:
+        raise BadSortField(f"{wrong[0]!r} is neither asc nor desc")
+    if len(found) > MAX_KEYS:
+        raise TooManySortKeys(f"{len(found)} sort keys; at most {MAX_KEYS}")
+    return [SortKey(name, _DESCENDING[d]) for name, d in found]
 
 
 def check_sort(keys: list[SortKey], kinds: dict[str, str]) -> None:

@@ -84,6 +84,23 @@ def test_highlight():
     assert cut.startswith("…") and cut.endswith("…") and "<em>target</em>" in cut and "�" not in cut
 
 
+def test_highlight_of_words_inside_words():
+    analyzer = ChineseAnalyzer.from_text("全文搜\n全文\n文搜\n")
+    mark = lambda *terms: Highlighter(max_length=0).snippet("全文搜索", set(terms), analyzer)
+    assert mark("全文搜", "全文", "文搜") == "<em>全文搜</em>索"
+    assert mark("全文", "文搜") == "<em>全文</em>搜索" and mark("文搜") == "全<em>文搜</em>索"
+
+
+@pytest.mark.parametrize("length", [1, 7, 20, 33, 400])
+def test_highlight_window(length):
+    """Whole characters, at most three bytes more than asked for on either side; marked words lie inside."""
+    text = "é好" * 9 + " tag <b> " + "语é" * 9 + " tag"
+    cut = Highlighter("[", "]", length).snippet(text, {"tag"}, KEEP_ALL)
+    plain = cut.strip("…").replace("[", "").replace("]", "").replace("&lt;", "<").replace("&gt;", ">")
+    assert plain in text and len(plain.encode()) <= min(length + 6, len(text.encode())) and cut.count("[") <= 2
+    assert cut.startswith("…") is not text.startswith(plain) and cut.endswith("…") is not text.endswith(plain)
+
+
 def test_highlight_in_the_jvm_equals_python(spark):
     from quillon.functions.analysis import fold, gaps, raw_tokens
 
