@@ -128,6 +128,14 @@ class EngineClosed(QuillonError):
     status, code = 500, "INTERNAL"
 
 
+class NoSharedFolder(QuillonError):
+    status, code = 500, "INTERNAL"
+
+
+class Busy(QuillonError):
+    status, code = 503, "BUSY"
+
+
 class PersistenceBroken(QuillonError):
     status, code = 500, "INTERNAL"
 

@@ -1,38 +1,50 @@
 """Tables with their own schema, documents and change log.
 
-A table's folder holds ``schema.json`` and a log-structured store of its changes; the live documents and every index
-are derived from it. Single writes are small appends; ``upsert_frame`` writes a whole DataFrame as one run.
+A table's folder holds a log-structured store of its changes, whose manifest also has the table's schema, the numbers
+given out and the imports done: each write publishes all it changes as one version. The live documents and every
+index are derived from it. Single writes are small appends; ``upsert_frame`` writes a whole DataFrame as one run.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
 import re
+import time
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import (
     BadTableName,
+    Busy,
     CannotDropDefault,
     Corrupted,
     DocumentExists,
     DocumentNotFound,
+    DocumentTooLarge,
+    EmptyExternalId,
+    EmptyFieldName,
     EngineClosed,
     FieldKindConflict,
+    NoFields,
     PersistenceBroken,
+    QuillonError,
     TableExists,
     TableNotFound,
+    TooManyFields,
     TooManyTables,
 )
 from quillon.functions.analysis import StandardAnalyzer
 from quillon.functions.scoring import BM25
 from quillon.functions.values import DATE, DATE_TEXT, DECIMAL_TEXT, KEYWORD, NUMBER, TEXT, parse_kind
-from quillon.operators.changes import ChangeStore
-from quillon.operators.documents import Document, declare, document_from_values, validate
+from quillon.operators.changes import ChangeStore, publish, trimmed_id
+from quillon.operators.documents import MAX_FIELDS, MAX_TOKENS, Document, declare, document_from_values, validate
 from quillon.operators.index import PostingIndex
 from quillon.operators.search import Collection, SearchResult
 from quillon.plans.shipping import ensure_importable
@@ -62,9 +74,17 @@ def typed(kind: str, raw: Column) -> Column:
     return raw
 
 
+class _Moved(Exception):
+    """The table was written to between a look at it and the write that relies on it."""
+
+
 @dataclass
 class Table:
-    """One table. Reads see the changes appended so far; a DataFrame, once made, keeps its snapshot."""
+    """One table. Reads see the changes appended so far; a DataFrame, once made, keeps its snapshot.
+
+    Writers, in this process or others, get numbers of their own and publish one after the other. A write that
+    depends on whether its document exists is tried again if another one came first.
+    """
 
     spark: SparkSession
     name: str
@@ -75,13 +95,28 @@ class Table:
 
     # --- schema ---
 
+    @functools.cached_property
+    def _store(self) -> ChangeStore:
+        return ChangeStore.open(self.spark, f"{self.path}/log", meta={"kinds": {}, "imported": {}})
+
     @property
     def _meta(self) -> dict:
-        return _read_json(self.spark, f"{self.path}/schema.json") or {"kinds": {}, "next_seq": 1, "imported": {}}
+        return self._store.state()["meta"]
+
+    @property
+    def persisted(self) -> bool:
+        """Whether writes still reach the log."""
+        return self.broken is None
 
-    def _write_meta(self, **changes) -> None:  # noqa: ANN003
+    @contextlib.contextmanager
+    def _writing(self) -> Iterator[None]:
+        """Writes fail at once after one that could not be stored; refusals and busy writers leave the table as it is."""
+        if self.broken:
+            raise PersistenceBroken(f"table {self.name} is read-only: {self.broken}")
         try:
-            _write_json(self.spark, f"{self.path}/schema.json", self._meta | changes)
+            yield
+        except (QuillonError, _Moved):
+            raise
         except Exception as e:
             self.broken = str(e)
             raise PersistenceBroken(f"table {self.name} is read-only: {e}") from e
@@ -91,10 +126,10 @@ class Table:
         return self._meta["kinds"]
 
     def declare(self, kinds: dict[str, str]) -> None:
-        known = self.schema()
-        merged = declare(known, {n: parse_kind(k) for n, k in kinds.items()})
-        if merged != known:
-            self._write_meta(kinds=merged)
+        wanted = {n: parse_kind(k) for n, k in kinds.items()}
+        if declare(self.schema(), wanted) != self.schema():
+            with self._writing():
+                self._store.commit(lambda state: state | {"meta": state["meta"] | {"kinds": declare(state["meta"]["kinds"], wanted)}})
 
     def fields(self) -> list[str]:
         """Searchable fields that some document has."""
@@ -107,95 +142,142 @@ class Table:
 
     # --- writing ---
 
-    @property
-    def _store(self) -> ChangeStore:
-        return ChangeStore.open(self.spark, f"{self.path}/log")
+    def _append(self, changes: list[tuple[str, bool, dict[str, str]]], runs: dict | None = None) -> None:
+        """Stores changes under new numbers; if ``runs`` is given, only while the log still consists of them."""
 
-    def _append(self, changes: list[tuple[str, bool, dict[str, str]]]) -> None:
-        if self.broken:
-            raise PersistenceBroken(f"table {self.name} is read-only: {self.broken}")
-        first = self._meta["next_seq"]
-        now = datetime.now(timezone.utc)
-        rows = [(self.name, id, first + k, "delete" if gone else "upsert", gone, fields, None, now) for k, (id, gone, fields) in enumerate(changes)]
-        self._commit(self.spark.createDataFrame(rows, _CHANGE), first + len(rows))
+        began = time.time()
 
-    def _commit(self, frame: DataFrame, next_seq: int) -> None:
-        counted = Observation()
-        try:
-            self._store.append(frame.observe(counted, F.count(F.lit(1)).alias("records")))
-        except Exception as e:
-            self.broken = str(e)
-            raise PersistenceBroken(f"table {self.name} is read-only: {e}") from e
-        self._write_meta(next_seq=next_seq, records=self._meta.get("records", 0) + counted.get["records"])
+        def unmoved(state: dict) -> None:
+            if time.time() - began > self._store.retention:
+                raise Busy(f"a write to table {self.name} took too long")
+            if runs is not None and state["runs"].keys() != runs.keys():
+                raise _Moved
+
+        with self._writing():
+            first = self._store.reserve(len(changes))
+            now = datetime.now(timezone.utc)
+            rows = [(self.name, id, first + k, "delete" if gone else "upsert", gone, fields, None, now) for k, (id, gone, fields) in enumerate(changes)]
+            self._store.append(self.spark.createDataFrame(rows, _CHANGE), only_if=unmoved)
+        self.maybe_compact()
 
     def _admit(self, doc: Document) -> tuple[str, bool, dict[str, str]]:
         self.declare(doc.kinds())
         validate(doc, self.schema(), self.analyzer)
         return doc.id.strip(), False, doc.stored()
 
+    def _change_one(self, change: tuple[str, bool, dict[str, str]], refuse: Callable[[bool], Exception | None] = lambda found: None) -> bool:
+        """Stores a change of one document unless ``refuse`` gives an error for whether it exists; whether it did."""
+        while True:
+            runs = self._store.state()["runs"]
+            found = self.has(change[0])
+            if error := refuse(found):
+                raise error
+            with contextlib.suppress(_Moved):
+                self._append([change], runs)
+                return found
+
     def create(self, doc: Document) -> None:
-        change = self._admit(doc)
-        if self.has(doc.id):
-            raise DocumentExists(f"document {doc.id!r} exists")
-        self._append([change])
+        self._change_one(self._admit(doc), lambda found: DocumentExists(f"document {doc.id!r} exists") if found else None)
 
     def update(self, doc: Document) -> None:
-        change = self._admit(doc)
-        if not self.has(doc.id):
-            raise DocumentNotFound(f"there is no document {doc.id!r}")
-        self._append([change])
+        self._change_one(self._admit(doc), lambda found: None if found else DocumentNotFound(f"there is no document {doc.id!r}"))
 
     def upsert(self, doc: Document) -> bool:
         """Replaces a document whole; whether it was new."""
-        change = self._admit(doc)
-        new = not self.has(doc.id)
-        self._append([change])
-        return new
+        return not self._change_one(self._admit(doc))
 
     def upsert_many(self, docs: list[Document]) -> None:
         """Several documents as one append; the last of equal ids holds."""
         self._append([self._admit(d) for d in docs])
 
-    def upsert_frame(self, frame: DataFrame, kinds: dict[str, str], id: str = "id") -> None:
-        """All rows of a frame as documents. Rows of one id in the same frame: the later in read order holds."""
+    def upsert_frame(self, frame: DataFrame, kinds: dict[str, str], id: str = "id", label: str | None = None) -> None:
+        """All rows of a frame as documents. Rows of one id in the same frame: the later in read order holds.
+
+        Every row must meet the rules of a document; if one doesn't, nothing is stored. The rules are observed while
+        the rows are written, so the frame is read once.
+        """
+        if any(not n.strip() for n in kinds):
+            raise EmptyFieldName("a field needs a name")
         self.declare(kinds)
-        base = self._meta["next_seq"]
-        values = [x for n in kinds for x in (F.lit(n), _stored_text(kinds[n], F.col(n)))]
-        numbered = frame.select(
-            F.lit(self.name).alias("tbl"),
-            F.col(id).cast("string").alias("external"),
-            (F.monotonically_increasing_id() + base).alias("seq"),
-            F.lit("upsert").alias("op"),
-            F.lit(False).alias("deleted"),
-            F.map_filter(F.create_map(*values), lambda _, v: v.isNotNull()).alias("doc_fields"),
-            F.lit(None).cast("map<string,string>").alias("declared"),
-            F.current_timestamp().alias("received_at"),
-        )
-        self._commit(numbered, base + (frame.rdd.getNumPartitions() << 33))
+        values = [x for n in kinds for x in (F.lit(n.strip()), _stored_text(kinds[n], F.col(n)))]
+        fields = F.map_filter(F.create_map(*values), lambda _, v: v.isNotNull()) if values else F.create_map().cast("map<string,string>")
+        # A document has no more terms than its texts have characters, so only very long ones are analysed here.
+        texts = [n for n, k in kinds.items() if parse_kind(k) == TEXT]
+        add = lambda sizes: sum((F.coalesce(x, F.lit(0)) for x in sizes), F.lit(len(kinds) - len(texts)))
+        size = F.when(add(F.char_length(F.col(n)) for n in texts) > MAX_TOKENS, add(F.size(self.analyzer.tokens(F.col(n))) for n in texts)).otherwise(0)
+        with self._writing():
+            base = self._store.reserve(frame.rdd.getNumPartitions() << 33)
+            numbered = frame.select(
+                F.lit(self.name).alias("tbl"),
+                F.col(id).cast("string").alias("external"),
+                (F.monotonically_increasing_id() + base).alias("seq"),
+                F.lit("upsert").alias("op"),
+                F.lit(False).alias("deleted"),
+                fields.alias("doc_fields"),
+                F.lit(None).cast("map<string,string>").alias("declared"),
+                F.current_timestamp().alias("received_at"),
+                size.alias("size"),
+            )
+            blank = F.coalesce(trimmed_id(F.col("external")) == "", F.lit(True))
+            observed = {"blank": F.count_if(blank), "empty": F.count_if(F.size("doc_fields") == 0), "most": F.max(F.size("doc_fields")), "largest": F.max("size")}
+
+            def check(seen: dict) -> None:
+                if seen["blank"]:
+                    raise EmptyExternalId(f"{seen['blank']} rows have no id")
+                if seen["empty"]:
+                    raise NoFields(f"{seen['empty']} rows have no field")
+                if (seen["most"] or 0) > MAX_FIELDS:
+                    raise TooManyFields(f"a row has {seen['most']} fields; at most {MAX_FIELDS}")
+                if (seen["largest"] or 0) > MAX_TOKENS:
+                    raise DocumentTooLarge(f"a row has {seen['largest']} terms; at most {MAX_TOKENS}")
+
+            def mark(meta: dict) -> dict:
+                return meta | {"imported": meta["imported"] | {label: datetime.now(timezone.utc).isoformat()}}
+
+            began = time.time()
+
+            def in_time(state: dict) -> None:
+                if time.time() - began > self._store.retention:
+                    raise Busy(f"a write to table {self.name} took too long")
+                if label in state["meta"]["imported"]:
+                    raise _Moved
+
+            self._store.append(numbered, observed=observed, check=check, meta=mark if label else None, only_if=in_time)
+        self.maybe_compact()
 
     def delete(self, id: str) -> None:
-        if not self.has(id):
-            raise DocumentNotFound(f"there is no document {id!r}")
-        self._append([(id.strip(), True, {})])
+        self._change_one((id.strip(), True, {}), lambda found: None if found else DocumentNotFound(f"there is no document {id!r}"))
 
     def maybe_compact(self) -> bool:
-        """Compacts when the log has grown far beyond the live documents."""
-        records = self._meta.get("records", 0)
-        if records < COMPACT_RECORDS or records <= COMPACT_RATIO * self.count():
+        """Compacts when the log has grown far beyond the live documents; called after every write.
+
+        The documents are counted when the log is that far beyond their last count, which then is that of now.
+        """
+        state = self._store.state()
+        records, known = sum(r["records"] for r in state["runs"].values()), state["meta"].get("known", 0)
+        if records < COMPACT_RECORDS or records <= COMPACT_RATIO * known:
             return False
-        self.compact()
-        return True
+        live = self.count()
+        if records > COMPACT_RATIO * live:
+            self.compact()
+            live = max(live, self._store.records())  # with the tombstones that had to stay
+        with self._writing():
+            self._store.commit(lambda now: now | {"meta": now["meta"] | {"known": live}})
+        return records > COMPACT_RATIO * live
 
     def compact(self) -> None:
-        self._store.compact()
-        self._write_meta(records=self.count())
+        """Leaves one run of the live documents, and tombstones that a write still under way could need."""
+        with self._writing():
+            self._store.compact(self._store.horizon())
 
     def import_once(self, label: str, frame: DataFrame, kinds: dict[str, str], id: str = "id") -> bool:
-        """``upsert_frame`` unless an import of this label is done already."""
+        """``upsert_frame`` unless an import of this label is done already; both are one version of the log."""
         if label in self._meta["imported"]:
             return False
-        self.upsert_frame(frame, kinds, id)
-        self._write_meta(imported=self._meta["imported"] | {label: datetime.now(timezone.utc).isoformat()})
+        try:
+            self.upsert_frame(frame, kinds, id, label)
+        except _Moved:
+            return False
         return True
 
     # --- reading ---
@@ -224,7 +306,7 @@ class Table:
         path, plain = self._index_path(), self._plain()
         if not _read_json(self.spark, f"{path}/ready.json"):
             plain.prepare(f"{path}/tokens", int(self.spark.conf.get("spark.sql.shuffle.partitions"))).with_index(f"{path}/postings")
-            _write_json(self.spark, f"{path}/ready.json", {"kinds": plain.kinds})
+            publish(self.spark, path, "ready.json", json.dumps({"kinds": plain.kinds}))
             fs, root = filesystem(self.spark, f"{self.path}/index")
             for old in fs.listStatus(root):
                 if old.getPath().getName() != path.rpartition("/")[2]:
@@ -274,7 +356,7 @@ class Table:
             row = self.collection().table_stats().first().asDict()
         else:
             row = {"docs": self.count(), "fields": 0, "terms": 0, "total_tokens": 0, "avg_doc_length": 0.0}
-        return {"table": self.name, **row, "log_bytes": self.log_bytes(), "log_records": self._meta.get("records", 0)}
+        return {"table": self.name, **row, "log_bytes": self.log_bytes(), "log_records": self._store.records()}
 
     def log_bytes(self) -> int:
         fs, path = filesystem(self.spark, f"{self.path}/log")
@@ -293,24 +375,13 @@ def _read_json(spark: SparkSession, path: str) -> dict | None:
         return None
     stream = fs.open(file)
     try:
-        return json.loads(stream.readUTF())
+        return json.loads(bytes(stream.readAllBytes()))
     except Exception as e:
         raise Corrupted(f"{path} can't be read: {e}") from e
     finally:
         stream.close()
 
 
-def _write_json(spark: SparkSession, path: str, value: dict) -> None:
-    fs, draft = filesystem(spark, path + ".draft")
-    final = filesystem(spark, path)[1]
-    stream = fs.create(draft, True)
-    stream.writeUTF(json.dumps(value))
-    stream.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(draft, final)
-
-
 @dataclass
 class Engine:
     """Isolated tables under one folder; ``default`` always exists."""
@@ -338,16 +409,16 @@ class Engine:
 
     def _make(self, name: str, kinds: dict[str, str]) -> Table:
         made = self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
-        made._write_meta(kinds={n: parse_kind(k) for n, k in kinds.items()})
+        made._store.commit(lambda state: state | {"meta": state["meta"] | {"kinds": {n: parse_kind(k) for n, k in kinds.items()}}})
         return made
 
     def table_names(self) -> list[str]:
-        """The tables found in the folder, in order; a folder without a schema file is none."""
+        """The tables found in the folder, in order; a folder without a log is none."""
         fs, path = filesystem(self.spark, self.root)
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
-        return sorted(n for n in names if fs.exists(filesystem(self.spark, f"{self._path(n)}/schema.json")[1]))
+        return sorted(n for n in names if fs.exists(filesystem(self.spark, f"{self._path(n)}/log/manifest")[1]))
 
     def table(self, name: str = DEFAULT_TABLE) -> Table:
         if self.closed:

@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.errors import NoSharedFolder
+
 _SETTING = "spark.checkpoint.dir"
 _scratch: list[str] = []
+_checkpoints: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary folder is set as the checkpoint directory
-    once; a cluster has to name a folder that all executors share.
+    Where a session on one machine names none (tests, a laptop) a temporary folder is set as the checkpoint directory
+    once; on a cluster this is an error, as all executors must share the folder.
     """
     configured = spark.sparkContext.getConf().get(_SETTING) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise NoSharedFolder(f"{_SETTING} is not set: a cluster needs a folder that all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+    atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -36,9 +45,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def clean(spark: SparkSession) -> None:
-    """Removes all scratch paths of this driver. Frames that read from them can't be used any more."""
-    while _scratch:
-        remove(spark, _scratch.pop())
+    """Removes all scratch paths and checkpoints of this driver. Frames that read from them can't be used any more."""
+    for paths in (_scratch, _checkpoints):
+        while paths:
+            remove(spark, paths.pop())
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -60,16 +70,46 @@ def _clean_quietly(spark: SparkSession) -> None:
         pass
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths and checkpoints made inside are removed at its end; frames that read them are used up by then."""
+    before, kept = set(_scratch), set(_checkpoints)
+    try:
+        yield
+    finally:
+        for path in [p for p in _scratch if p not in before]:
+            _scratch.remove(path)
+            remove(spark, path)
+        for path in [p for p in _checkpoints if p not in kept]:
+            _checkpoints.remove(path)
+            remove(spark, path)
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size of a frame, before it is run; None where it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 56 else None
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """``df`` computed once, its lineage cut by a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    made = df.checkpoint(eager=True)
+    if (file := made._jdf.logicalPlan().rdd().getCheckpointFile()).isDefined():
+        _checkpoints.append(file.get())
+    return made
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """``df`` written once to the shared folder, bucketed by ``key``: later joins and groups on it need no shuffle."""
+    """``df`` written once to the shared folder, bucketed by ``key``: later joins and groups on it need no shuffle.
+
+    The frame names its files; the catalog entry, which says how they are bucketed, is dropped at once.
+    """
     spark = df.sparkSession
     name, path = f"quillon_{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    try:
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

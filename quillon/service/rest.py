@@ -120,7 +120,7 @@ class Api:
         return 200, {"status": "ok"}
 
     def _info(self, table: Table) -> dict:
-        return table.stats() | {"schema": table.schema(), "persisted": True}
+        return table.stats() | {"schema": table.schema(), "persisted": table.persisted}
 
     def stats(self, names, params, body):  # noqa: ANN001, ANN201
         tables = self.engine.stats()

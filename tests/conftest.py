@@ -18,7 +18,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
-        .config("spark.sql.warehouse.dir", warehouse)
+        .config("spark.sql.warehouse.dir", f"{warehouse}/tables")
+        .config("spark.checkpoint.dir", f"file://{warehouse}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")

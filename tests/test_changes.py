@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import pathlib
 import random
+import threading
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import changes
 from quillon.operators.changes import ChangeStore, current_documents
 from quillon.streaming.ingest import ingest
 
@@ -64,7 +70,7 @@ def test_runs_in_any_order_and_compaction(spark, tmp_path):
     store = ChangeStore.open(spark, str(tmp_path / "s"), 3)
     for k in range(0, len(delivered), 60):
         store.append(feed(spark, delivered[k : k + 60]))
-    assert len(store.stats()["runs"]) == 6
+    assert len(store.stats()["runs"]) == 6 and {r["level"] for r in store.stats()["runs"].values()} == {0}
     assert state(store.live()) == replay(records)
     store.compact()
     assert len(store.stats()["runs"]) == 1
@@ -75,12 +81,45 @@ def test_runs_in_any_order_and_compaction(spark, tmp_path):
     assert state(store.compact(forget_before=10**6).live()) == replay(records + late)
 
 
-def test_runs_are_compacted_when_they_are_many(spark, tmp_path):
+def files(path):
+    return sorted(p for p in pathlib.Path(path).rglob("*.parquet"))
+
+
+def test_levels_write_a_record_again_as_often_as_there_are_levels(spark, tmp_path):
+    store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
+    store.fan_in = 2
+    written, records = 0, []
+    for s in range(14):
+        before = set(files(tmp_path))
+        records.append(("t", s, f"d{s}", {}, False, None))
+        store.append(feed(spark, records[-1:]))
+        written += sum(pq.ParquetFile(p).metadata.num_rows for p in set(files(tmp_path)) - before)
+        levels = Counter(r["level"] for r in store.state()["runs"].values())
+        assert max(levels.values()) <= 2
+    assert state(store.live()) == replay(records) and store.records() == 14
+    assert max(levels) == 2 and written <= 14 * 3  # a rewrite of all at each merge would be more than 50
+
+
+def test_a_frame_keeps_its_snapshot(spark, tmp_path):
+    """Also one that has not been planned yet when its runs are replaced; without its files it fails."""
     store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
-    store.max_runs = 2
-    for s in range(4):
-        store.append(feed(spark, [("t", s, f"d{s}", {}, False, None)]))
-    assert len(store.stats()["runs"]) <= 2 and len(state(store.live())) == 4
+    records = [("t", s, f"d{s % 4}", {"v": str(s)}, s == 5, None) for s in range(8)]
+    for k in (0, 4):
+        store.append(feed(spark, records[k : k + 4]))
+    held, planned = store.live(), store.live()
+    planned.collect()
+    store.compact()
+    store.append(feed(spark, [("t", 100, "d1", {"v": "new"}, False, None)]))
+    store.compact()
+    assert state(held) == state(planned) == replay(records) != state(store.live())
+    assert len(store.state()["retired"]) == 4 and len({p.parent.parent for p in files(tmp_path)}) == 5
+    late = store.live()
+    store.vacuum(0)
+    assert len({p.parent.parent for p in files(tmp_path)}) == 1 and store.state()["retired"] == {}
+    for frame in (held, planned):
+        with pytest.raises(Exception, match="(?i)not exist"):
+            frame.collect()
+    assert state(late) == state(store.live()) and len(state(late)) == 4
 
 
 def test_merge_needs_no_shuffle(spark, tmp_path):
@@ -90,14 +129,53 @@ def test_merge_needs_no_shuffle(spark, tmp_path):
     live = store.live()
     live.collect()
     assert "Exchange" not in live._jdf.queryExecution().executedPlan().toString()
+    one = live.where("external = 'd'")
+    assert one.count() == 1 and one._jdf.queryExecution().executedPlan().toString().count("SelectedBucketsCount: 1 out of 4") == 1
+    assert spark.catalog.listTables() == []
 
 
-def test_one_writer_per_version(spark, tmp_path):
+def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
     store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
-    stale = store._state()
     store.append(feed(spark, [("t", 1, "d", {}, False, None)]))
-    with pytest.raises(RuntimeError):
-        store._publish(stale | {"version": stale["version"] + 1})
+    monkeypatch.setattr(changes, "BUCKET_BYTES", 300)
+    store.append(feed(spark, [("t", s, f"d{s}", {"v": "x" * 9}, False, None) for s in range(50)]))
+    store.compact().append(feed(spark, [("t", 90, "d", None, True, None)]))
+    sizes = [r["buckets"] for r in store.state()["runs"].values()]
+    assert sizes[0] == sizes[1] > 2 and len(state(store.live())) == 50
+
+
+def test_a_refused_batch_leaves_nothing(spark, tmp_path):
+    store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
+
+    def refuse(seen):
+        assert seen["records"] == 1 and seen["mine"] == 7
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        store.append(feed(spark, [("t", 7, "d", {}, False, None)]), observed={"mine": F.sum("seq")}, check=refuse)
+    assert store.state()["runs"] == {} and files(tmp_path) == []
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """Each publishes the next version from the newest state; numbers are given out once."""
+    store, numbers = ChangeStore.open(spark, str(tmp_path / "s"), 2), []
+
+    def write(k):
+        own = ChangeStore.open(spark, str(tmp_path / "s"))
+        own.fan_in = 3
+        for _ in range(3):
+            first = own.reserve(2)
+            numbers.append(first)
+            own.append(feed(spark, [("t", first + i, f"d{k}", {"v": str(first + i)}, False, None) for i in range(2)]))
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert sorted(numbers) == list(range(1, 19, 2)) and store.state()["next_seq"] == 19
+    assert len(state(store.live())) == 3 and max(v for v, _ in state(store.live()).values()) == 18
+    stale = store.state()
+    store.reserve(1)
+    assert store._publish(stale | {"version": stale["version"] + 1}) is False
 
 
 def test_stream(spark, tmp_path):

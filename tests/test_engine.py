@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from datetime import datetime, timezone
 
 import pytest
@@ -42,6 +43,11 @@ def test_documents_and_restart(spark, engine):
     again = Engine(spark, engine.root).table("log")
     assert fingerprint(again) == before
     again.compact()
+    assert again.stats()["log_records"] == 5  # a tombstone stays as long as a write with a lower number may be under way
+    again._store.retention = 0
+    again._store.reserve(1)
+    again.compact()
+    again._store.retention = 3600
     assert fingerprint(again) == before and again.stats()["log_records"] == 4
     again.upsert(Document("d6", {"title": "gamma"}))
     assert again.has("d6") and not again.has("d4")
@@ -199,6 +205,86 @@ def test_failed_append_makes_a_table_read_only(spark, engine, monkeypatch):
     assert engine.table("broken").count() == 1 and Engine(spark, engine.root).table("broken").search("alpha").total() == 1
 
 
+def test_frames_must_meet_the_rules(spark, engine):
+    t = engine.create_table("frames")
+    schema = "id string, a string, b string, c string"
+    wrong = [
+        ([("1", "x", None, None), (" ", "y", None, None)], {"a": "text"}, errors.EmptyExternalId),
+        ([(None, "y", None, None)], {"a": "text"}, errors.EmptyExternalId),
+        ([("1", "x", None, None), ("2", None, None, "x")], {"a": "text", "b": "keyword"}, errors.NoFields),
+        ([("1", "w " * 60_000, None, "w " * 60_000)], {"a": "text", "c": "text"}, errors.DocumentTooLarge),
+        ([("1", "x", None, None)], {" ": "text"}, errors.EmptyFieldName),
+    ]
+    for rows, kinds, error in wrong:
+        with pytest.raises(error):
+            t.upsert_frame(spark.createDataFrame(rows, schema), kinds)
+    wide = spark.createDataFrame([("1", *["x"] * 33)], "id string, " + ", ".join(f"f{k} string" for k in range(33)))
+    with pytest.raises(errors.TooManyFields):
+        t.upsert_frame(wide, {f"f{k}": "keyword" for k in range(33)})
+    assert t._store.records() == 0 and t.persisted
+    t.upsert_frame(spark.createDataFrame([("1", "w " * 60_000, "k", None)], schema), {"a": "text", "b": "keyword"})
+    assert t.count() == 1 and t.search("b:K").total() == 1
+    t.broken = "no disk"
+    with pytest.raises(errors.PersistenceBroken):
+        t.upsert_frame(spark.createDataFrame([("2", "x", "k", None)], schema), {"a": "text"})
+    assert not t.persisted and t.count() == 1
+
+
+def test_writers_at_the_same_time(spark, engine):
+    """Of several that create one document one wins; none makes the table read-only; no change is lost."""
+    t, won, lost = engine.create_table("busy"), [], []
+
+    def write(k):
+        own = Engine(spark, engine.root).table("busy")
+        try:
+            own.create(Document("same", {"title": f"by {k}"}))
+            won.append(k)
+        except errors.DocumentExists:
+            lost.append(k)
+        own.upsert(Document(f"own{k}", {"title": "mine"}))
+        assert own.persisted
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    assert len(won) == 1 and len(lost) == 2 and t.get("same").fields["title"] == f"by {won[0]}"
+    assert sorted(r.id for r in t.live().collect()) == ["own0", "own1", "own2", "same"]
+
+
+@pytest.mark.parametrize("stop", ["reserve", "write", "publish", "merge"])
+def test_a_stop_between_steps_loses_nothing(spark, engine, monkeypatch, stop):
+    """What was acknowledged stays, with its number; what was not is not there, and later writes are newer."""
+    from quillon.operators.changes import ChangeStore
+
+    t = engine.create_table(f"stop-{stop}")
+    for k in range(2):
+        t.upsert(Document("d", {"title": f"first {k}"}, numbers={"n": k}))
+    step = {"reserve": "append", "write": "_write", "publish": "_publish", "merge": "_settle"}[stop]
+    with monkeypatch.context() as m:
+        m.setattr(ChangeStore, step, lambda *_, **__: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            t.upsert(Document("d", {"title": "second"}))
+    again = Engine(spark, engine.root).table(t.name)
+    assert again.schema() == {"title": "text", "n": "number"}
+    assert again.get("d").fields["title"] == ("second" if stop == "merge" else "first 1")
+    again.upsert(Document("d", {"title": "third"}))
+    assert again.get("d").fields["title"] == "third" and again.count() == 1
+    again.compact()
+    assert again.get("d").fields["title"] == "third"
+
+
+def test_the_log_is_compacted_by_itself(spark, engine, monkeypatch):
+    from quillon.operators import engine as module
+
+    monkeypatch.setattr(module, "COMPACT_RECORDS", 8)
+    t = engine.create_table("grown")
+    for k in range(4):
+        t.upsert_many([Document(f"d{i}", {"title": f"text {k}"}) for i in range(2)])
+    assert t._store.records() == 2 and len(t._store.state()["runs"]) == 1
+    t.upsert_many([Document(f"e{i}", {"title": "more"}) for i in range(9)])
+    assert t._store.records() == 11 and t.count() == 11
+
+
 def test_start_imports_once(spark, tmp_path):
     from quillon.service.__main__ import start
 
