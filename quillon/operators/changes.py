@@ -115,15 +115,15 @@ class ChangeStore:
         run: Column | None = None,
         observed: dict[str, Column] | None = None,
         check: Callable[[dict], None] | None = None,
-        meta: Callable[[dict], dict] | None = None,
+        meta: Callable[[dict, dict], dict] | None = None,
         only_if: Callable[[dict], None] | None = None,
     ) -> ChangeStore:
         """Adds records as one run, or as one run per value of ``run`` (a string, such as the day of arrival).
 
         Repeated and late records are allowed, in the same run or a later one. A run becomes visible when a
         manifest names it; files of an append that failed are never read. ``check`` gets the values of the aggregates
-        ``observed`` over the feed and may refuse it by an error; ``meta`` changes the store's metadata in the same
-        version; ``only_if`` may refuse the state that the version is made from.
+        ``observed`` over the feed and may refuse it by an error; ``meta`` gives the store's metadata in the same
+        version, from those before and what was observed; ``only_if`` may refuse the state that the version is made from.
         """
         label = uuid.uuid4().hex[:12]
         data = f"{self.path}/data-{label}"
@@ -144,7 +144,7 @@ class ChangeStore:
             def add(state: dict) -> dict:
                 if only_if is not None:
                     only_if(state)
-                more = meta(state["meta"]) if meta is not None else state["meta"]
+                more = meta(state["meta"], facts) if meta is not None else state["meta"]
                 return state | {"runs": state["runs"] | new, "meta": more, "buckets": state["buckets"] if state["runs"] else self.buckets}
 
             self.commit(add)

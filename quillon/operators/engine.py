@@ -12,19 +12,19 @@ import functools
 import json
 import re
 import time
-import zlib
+import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillon.errors import (
     BadTableName,
     Busy,
     CannotDropDefault,
-    Corrupted,
     DocumentExists,
     DocumentNotFound,
     DocumentTooLarge,
@@ -43,16 +43,18 @@ from quillon.errors import (
 from quillon.functions.analysis import StandardAnalyzer
 from quillon.functions.scoring import BM25
 from quillon.functions.values import DATE, DATE_TEXT, DECIMAL_TEXT, KEYWORD, NUMBER, TEXT, parse_kind
-from quillon.operators.changes import ChangeStore, publish, trimmed_id
+from quillon.operators.changes import ChangeStore, trimmed_id
 from quillon.operators.documents import MAX_FIELDS, MAX_TOKENS, Document, declare, document_from_values, validate
-from quillon.operators.index import PostingIndex
+from quillon.operators.index import LayeredIndex, PostingIndex
 from quillon.operators.search import Collection, SearchResult
 from quillon.plans.shipping import ensure_importable
-from quillon.plans.workspace import filesystem, remove
+from quillon.plans.workspace import filesystem, materialise, read_buckets, remove
 
 DEFAULT_TABLE, MAX_TABLES = "default", 64
 #: A log is compacted when it has at least this many records and more than so many times the live documents.
 COMPACT_RECORDS, COMPACT_RATIO = 512, 3
+#: An index is built anew when so many changes, and this share of the log, are newer.
+INDEX_RECORDS, INDEX_SHARE = 1000, 0.1
 _NAME = re.compile(r"[a-z0-9][a-z0-9_-]{0,63}")
 _CHANGE = "tbl STRING, external STRING, seq BIGINT, op STRING, deleted BOOLEAN, doc_fields MAP<STRING, STRING>, declared MAP<STRING, STRING>, received_at TIMESTAMP"
 
@@ -92,6 +94,9 @@ class Table:
     analyzer: StandardAnalyzer
     bm25: BM25 = field(default_factory=BM25)
     broken: str | None = None
+    #: Whether writes keep an index up to date.
+    indexed: bool = False
+    _ready: tuple | None = None
 
     # --- schema ---
 
@@ -157,8 +162,14 @@ class Table:
             first = self._store.reserve(len(changes))
             now = datetime.now(timezone.utc)
             rows = [(self.name, id, first + k, "delete" if gone else "upsert", gone, fields, None, now) for k, (id, gone, fields) in enumerate(changes)]
-            self._store.append(self.spark.createDataFrame(rows, _CHANGE), only_if=unmoved)
+            self._store.append(self.spark.createDataFrame(rows, _CHANGE), meta=_index_before, only_if=unmoved)
+        self._tidy()
+
+    def _tidy(self) -> None:
+        """What is due after a write."""
         self.maybe_compact()
+        if self.indexed:
+            self.maybe_index()
 
     def _admit(self, doc: Document) -> tuple[str, bool, dict[str, str]]:
         self.declare(doc.kinds())
@@ -231,8 +242,9 @@ class Table:
                 if (seen["largest"] or 0) > MAX_TOKENS:
                     raise DocumentTooLarge(f"a row has {seen['largest']} terms; at most {MAX_TOKENS}")
 
-            def mark(meta: dict) -> dict:
-                return meta | {"imported": meta["imported"] | {label: datetime.now(timezone.utc).isoformat()}}
+            def mark(meta: dict, facts: dict) -> dict:
+                done = {label: datetime.now(timezone.utc).isoformat()} if label else {}
+                return _index_before(meta | {"imported": meta["imported"] | done}, facts)
 
             began = time.time()
 
@@ -242,8 +254,8 @@ class Table:
                 if label in state["meta"]["imported"]:
                     raise _Moved
 
-            self._store.append(numbered, observed=observed, check=check, meta=mark if label else None, only_if=in_time)
-        self.maybe_compact()
+            self._store.append(numbered, observed=observed, check=check, meta=mark, only_if=in_time)
+        self._tidy()
 
     def delete(self, id: str) -> None:
         self._change_one((id.strip(), True, {}), lambda found: None if found else DocumentNotFound(f"there is no document {id!r}"))
@@ -287,42 +299,84 @@ class Table:
         return self._store.live().select(F.col("external").alias("id"), "seq", "doc_fields")
 
     def collection(self) -> Collection:
-        """The live documents with a typed column per declared field; with stored tokens and postings where they are current."""
-        if found := _read_json(self.spark, f"{self._index_path()}/ready.json"):
-            return self._indexed(found["kinds"])
-        return self._plain()
+        """The live documents with a typed column per declared field; with stored tokens and postings where there is an index.
 
-    def _index_path(self) -> str:
-        """The place of the index of just this state: its log version, schema and analyzer."""
-        state = f"{self._store.stats()['version']}/{sorted(self.schema().items())}/{self.analyzer.fingerprint}"
-        return f"{self.path}/index/{zlib.crc32(state.encode()):08x}-{self._store.stats()['version']}"
+        An index stays of use when the table is written to: documents that changed since are left out of it, and
+        only their present versions, read from the runs that are newer, are analysed. What that gives is kept until
+        the next write.
+        """
+        state = self._store.state()
+        index = state["meta"].get("index")
+        if index is None or index["analyzer"] != self.analyzer.fingerprint:
+            return self._plain()
+        key = (index["path"], index["upto"], sorted(state["runs"]), state["meta"]["kinds"])
+        if self._ready is None or self._ready[0] != key:
+            self._ready = (key, self._layered(state, index))
+        return self._ready[1]
 
     def build_index(self) -> Collection:
-        """Analyses the live documents once and stores tokens and postings; searches use them until the next write.
+        """Analyses the live documents and stores tokens and postings, for the changes published so far.
 
-        The index is derived: it is found by the state it was built from and never repaired. Indexes of former
-        states are removed.
+        The index is derived: it is found by the state it was built from and never repaired. A former index stays as
+        long as replaced runs do.
         """
-        path, plain = self._index_path(), self._plain()
-        if not _read_json(self.spark, f"{path}/ready.json"):
-            plain.prepare(f"{path}/tokens", int(self.spark.conf.get("spark.sql.shuffle.partitions"))).with_index(f"{path}/postings")
-            publish(self.spark, path, "ready.json", json.dumps({"kinds": plain.kinds}))
-            fs, root = filesystem(self.spark, f"{self.path}/index")
-            for old in fs.listStatus(root):
-                if old.getPath().getName() != path.rpartition("/")[2]:
-                    fs.delete(old.getPath(), True)
+        began = self._store.state()
+        upto, path = began["next_seq"], f"{self.path}/index-{uuid.uuid4().hex[:12]}"
+        buckets = max(began["buckets"], self.spark.sparkContext.defaultParallelism)
+        made = self._plain().prepare(f"{path}/tokens", buckets).with_index(f"{path}/postings")
+        index = {"path": path, "buckets": buckets, "kinds": made.kinds, "analyzer": self.analyzer.fingerprint, "sizes": made.sizes, "schema": made.analysed.schema.json()}
+
+        def adopt(state: dict) -> dict:
+            # A write that got its numbers before and was published meanwhile is newer than the index.
+            late = [r["low"] for n, r in state["runs"].items() if n not in began["runs"] and r["low"] is not None]
+            old = state["meta"].get("index")
+            retired = state["retired"] | ({old["path"]: time.time()} if old else {})
+            return state | {"retired": retired, "meta": state["meta"] | {"index": index | {"upto": min([upto, *late])}}}
+
+        with self._writing():
+            self._store.commit(adopt)
         return self.collection()
 
-    def _indexed(self, kinds: dict[str, str]) -> Collection:
-        stored = self.spark.read.parquet(f"{self._index_path()}/tokens")
-        index = PostingIndex.open(self.spark, f"{self._index_path()}/postings")
-        docs = stored.select("seq", "id", *sorted(kinds))
-        return Collection(docs, kinds, self.analyzer, self.bm25, stored, index)
+    def maybe_index(self) -> bool:
+        """Builds the index anew when many changes are newer than it."""
+        state = self._store.state()
+        index = state["meta"].get("index")
+        upto = index["upto"] if index else 0
+        newer = sum(r["records"] for r in state["runs"].values() if r["high"] is not None and r["high"] >= upto)
+        if min(newer, state["next_seq"] - upto) <= max(INDEX_RECORDS, INDEX_SHARE * sum(r["records"] for r in state["runs"].values())):
+            return False
+        self.build_index()
+        return True
+
+    def _layered(self, state: dict, index: dict) -> Collection:
+        kinds, path = state["meta"]["kinds"], index["path"]
+        sizes = {f: tuple(x) for f, x in index["sizes"].items()}
+        stored = read_buckets(self.spark, f"{path}/tokens", StructType.fromJson(json.loads(index["schema"])), "seq", index["buckets"])
+        known = Collection(stored, index["kinds"], self.analyzer, self.bm25).prepared(stored, sizes)
+        base = replace(known, index=PostingIndex.open(self.spark, f"{path}/postings", sizes))
+        newer = any(r["high"] is not None and r["high"] >= index["upto"] for r in state["runs"].values())
+        if not newer and kinds == index["kinds"]:
+            return base
+        changes = materialise(self._store.newest(index["upto"]).withColumnRenamed("external", "id"))
+        changed = changes.select("id")
+        fresh = Collection(self._columns(changes.where(~F.col("deleted")), kinds), kinds, self.analyzer, self.bm25)
+        fresh = replace(fresh, analysed=materialise(fresh.with_lengths()))
+        # Fields that are new since the index are null in its documents.
+        kept = base.analysed.join(changed, "id", "left_anti").select([c if c in base.analysed.columns else F.lit(None).cast(t).alias(c) for c, t in fresh.analysed.dtypes])
+        both = Collection(kept.unionByName(fresh.analysed), kinds, self.analyzer, self.bm25)
+        gone = replace(known, docs=stored.join(changed, "id", "left_semi"), analysed=stored.join(changed, "id", "left_semi"), sizes=None).measured()
+        added = fresh.measured()
+        now = {f: tuple(sizes.get(f, (0, 0))[k] - gone.get(f, (0, 0))[k] + added[f][k] for k in (0, 1)) for f in both.searchable}
+        whole = both.prepared(both.docs, now)
+        return replace(whole, index=LayeredIndex.over(base.index, changed, fresh.analysed, both.searchable, now))
 
     def _plain(self) -> Collection:
         kinds = self.schema()
-        columns = [typed(k, F.element_at("doc_fields", n)).alias(n) for n, k in sorted(kinds.items())]
-        return Collection(self.live().select("seq", "id", *columns), kinds, self.analyzer, self.bm25)
+        return Collection(self._columns(self.live(), kinds), kinds, self.analyzer, self.bm25)
+
+    @staticmethod
+    def _columns(live: DataFrame, kinds: dict[str, str]) -> DataFrame:
+        return live.select("seq", "id", *(typed(k, F.element_at("doc_fields", n)).alias(n) for n, k in sorted(kinds.items())))
 
     def search(self, query: str, **options) -> SearchResult:  # noqa: ANN003
         return self.collection().search(query, **options)
@@ -356,32 +410,30 @@ class Table:
             row = self.collection().table_stats().first().asDict()
         else:
             row = {"docs": self.count(), "fields": 0, "terms": 0, "total_tokens": 0, "avg_doc_length": 0.0}
-        return {"table": self.name, **row, "log_bytes": self.log_bytes(), "log_records": self._store.records()}
+        return {"table": self.name, **row, "index_bytes": self.index_bytes(), "log_bytes": self.log_bytes(), "log_records": self._store.records()}
+
+    def index_bytes(self) -> int:
+        """Bytes of the stored tokens and postings; 0 without an index."""
+        index = self._meta.get("index")
+        return filesystem(self.spark, self.path)[0].getContentSummary(filesystem(self.spark, index["path"])[1]).getLength() if index else 0
 
     def log_bytes(self) -> int:
         fs, path = filesystem(self.spark, f"{self.path}/log")
         return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
 
 
+def _index_before(meta: dict, facts: dict) -> dict:
+    """The index of a table lacks all numbers from its ``upto`` on: also those that were given out before it was built and come now."""
+    index = meta.get("index")
+    return meta if index is None or facts["low"] is None or facts["low"] >= index["upto"] else meta | {"index": index | {"upto": facts["low"]}}
+
+
 def _stored_text(kind: str, value: Column) -> Column:
     if kind == DATE:
         return F.date_format(value.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return value.cast("string")
 
 
-def _read_json(spark: SparkSession, path: str) -> dict | None:
-    fs, file = filesystem(spark, path)
-    if not fs.exists(file):
-        return None
-    stream = fs.open(file)
-    try:
-        return json.loads(bytes(stream.readAllBytes()))
-    except Exception as e:
-        raise Corrupted(f"{path} can't be read: {e}") from e
-    finally:
-        stream.close()
-
-
 @dataclass
 class Engine:
     """Isolated tables under one folder; ``default`` always exists."""
@@ -392,6 +444,8 @@ class Engine:
     bm25: BM25 = field(default_factory=BM25)
     #: Declarations of tables, made at the start; a table that exists takes those that are compatible.
     schemas: dict[str, dict[str, str]] = field(default_factory=dict)
+    #: Whether writes keep the index of their table up to date.
+    indexed: bool = False
     closed: bool = False
     _open: dict[str, Table] = field(default_factory=dict)
 
@@ -408,7 +462,7 @@ class Engine:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _make(self, name: str, kinds: dict[str, str]) -> Table:
-        made = self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
+        made = self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25, indexed=self.indexed)
         made._store.commit(lambda state: state | {"meta": state["meta"] | {"kinds": {n: parse_kind(k) for n, k in kinds.items()}}})
         return made
 
@@ -426,7 +480,7 @@ class Engine:
         if name not in self.table_names():
             raise TableNotFound(f"there is no table {name!r}")
         if name not in self._open:
-            self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25)
+            self._open[name] = Table(self.spark, name, self._path(name), self.analyzer, self.bm25, indexed=self.indexed)
         return self._open[name]
 
     def create_table(self, name: str, kinds: dict[str, str] | None = None) -> Table:

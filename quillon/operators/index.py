@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.plans.compile import Statistics
 
 
+_POSTINGS = "term STRING, seq BIGINT, id STRING, tf INT, positions ARRAY<INT>, length INT, field STRING"
+
+
 def build_postings(analysed: DataFrame, fields: list[str]) -> DataFrame:
-    """``field, term, seq, id, tf, positions, length`` from documents with token columns."""
+    """``field, term, seq, id, tf, positions, length`` from documents with token columns.
+
+    A group never crosses a document: where the documents are bucketed by ``seq``, this needs no shuffle.
+    """
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("tokens"), F.size(f"_t_{f}").alias("length")) for f in fields))
     by_field = analysed.select("seq", "id", F.inline(each)).where("length > 0")
     rows = by_field.select("seq", "id", "field", "length", F.inline("tokens"))
@@ -19,60 +26,79 @@ def build_postings(analysed: DataFrame, fields: list[str]) -> DataFrame:
     return grouped.select("field", "term", "seq", "id", F.size("positions").alias("tf"), "positions", "length")
 
 
+def posted(terms: list[tuple[str, str]]) -> Column:
+    """Whether a posting is of one of the (field, term) pairs; both columns reach the scan as partition and pushed filters."""
+    by_field: dict[str, list[str]] = {}
+    for f, t in terms:
+        by_field.setdefault(f, []).append(t)
+    pairs = [(F.col("field") == f) & F.col("term").isin(ts) for f, ts in by_field.items()]
+    return F.col("field").isin(list(by_field)) & F.col("term").isin(sorted({t for _, t in terms})) & reduce(Column.__or__, pairs, F.lit(False))
+
+
 @dataclass
 class PostingIndex:
     """Stored postings, with document frequencies and field statistics.
 
     Files are laid out by field and ranges of (term, seq), so a lookup reads few row groups and the postings of a
-    very common term lie in many files.
+    very common term lie in many files. ``sizes`` has, by field, the number of documents that have it and their terms.
     """
 
     postings: DataFrame
     lists: DataFrame
-    fields: DataFrame
+    sizes: dict[str, tuple[int, int]]
     _df: dict[tuple[str, str], int] = field(default_factory=dict)
-    _fields: dict[str, tuple[int, int]] | None = None
 
     @classmethod
-    def build(cls, analysed: DataFrame, names: list[str], path: str, partitions: int | None = None) -> PostingIndex:
+    def build(cls, analysed: DataFrame, names: list[str], path: str, sizes: dict[str, tuple[int, int]], partitions: int | None = None) -> PostingIndex:
         spark = analysed.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         built = build_postings(analysed, names)
         built.repartitionByRange(n, "field", "term", "seq").sortWithinPartitions("field", "term", "seq").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-        stored = spark.read.schema("term STRING, seq BIGINT, id STRING, tf INT, positions ARRAY<INT>, length INT, field STRING").parquet(f"{path}/postings")
+        stored = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
         lists = stored.groupBy("field", "term").agg(F.count("*").alias("df"))
-        lists.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/lists")
-        each = F.array(*(F.struct(F.lit(f).alias("field"), F.size(f"_t_{f}").alias("length")) for f in names))
-        sizes = analysed.select(F.inline(each)).where("length >= 0")
-        sizes.groupBy("field").agg(F.count("*").alias("docs"), F.sum("length").alias("total")).coalesce(1).write.mode("overwrite").parquet(f"{path}/fields")
-        return cls.open(spark, path)
+        lists.sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/lists")
+        return cls.open(spark, path, sizes)
 
     @classmethod
-    def open(cls, spark, path: str) -> PostingIndex:  # noqa: ANN001
-        stored = spark.read.schema("term STRING, seq BIGINT, id STRING, tf INT, positions ARRAY<INT>, length INT, field STRING").parquet(f"{path}/postings")
-        return cls(stored, spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/fields"))
+    def open(cls, spark, path: str, sizes: dict[str, tuple[int, int]]) -> PostingIndex:  # noqa: ANN001
+        return cls(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.schema("field STRING, term STRING, df BIGINT").parquet(f"{path}/lists"), sizes)
+
+    @property
+    def fields(self) -> DataFrame:
+        """``field, docs, total``, a row per field."""
+        rows = [(f, n, t) for f, (n, t) in sorted(self.sizes.items())]
+        return self.postings.sparkSession.createDataFrame(rows, "field STRING, docs BIGINT, total BIGINT")
 
     def lookup(self, terms: list[tuple[str, str]]) -> DataFrame:
-        """The postings of (field, term) pairs; both columns reach the scan as partition and pushed filters."""
-        if not terms:
-            return self.postings.limit(0)
-        by_field: dict[str, list[str]] = {}
-        for f, t in terms:
-            by_field.setdefault(f, []).append(t)
-        condition = F.lit(False)
-        for f, ts in by_field.items():
-            condition = condition | ((F.col("field") == f) & F.col("term").isin(ts))
-        return self.postings.where(F.col("field").isin(list(by_field)) & F.col("term").isin([t for _, t in terms]) & condition)
+        """The postings of (field, term) pairs."""
+        return self.postings.where(posted(terms)) if terms else self.postings.limit(0)
+
+    def point(self, name: str, term: str, seq: int) -> DataFrame:
+        """The posting of a term in one document: a row, or none."""
+        return self.lookup([(name, term)]).where(F.col("seq") == seq)
 
     def frequency(self, terms: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
         """Document frequencies, read once per pair and index."""
         if missing := [x for x in terms if x not in self._df]:
-            wanted = self.lists.where(F.col("term").isin(sorted({t for _, t in missing})) & F.col("field").isin(sorted({f for f, _ in missing})))
-            self._df.update({x: 0 for x in missing} | {(r.field, r.term): r.df for r in wanted.collect()})
+            self._df.update({x: 0 for x in missing} | {(r.field, r.term): r.df for r in self._counted(missing).collect()})
         return {x: self._df[x] for x in terms}
 
+    def _counted(self, terms: list[tuple[str, str]]) -> DataFrame:
+        return self.lists.where(posted(terms))
+
     def statistics(self, terms: list[tuple[str, str]]) -> Statistics:
-        if self._fields is None:
-            self._fields = {r.field: (r.docs, r.total) for r in self.fields.collect()}
-        sizes = {f: self._fields.get(f, (0, 0)) for f in {f for f, _ in terms}}
+        sizes = {f: self.sizes.get(f, (0, 0)) for f in {f for f, _ in terms}}
         return Statistics({f: n for f, (n, _) in sizes.items()}, {f: t / n if n else 0.0 for f, (n, t) in sizes.items()}, self.frequency(terms))
+
+
+@dataclass
+class LayeredIndex(PostingIndex):
+    """A stored index with the documents that changed since: those of ``changed`` no longer count in ``base``, their
+    present versions are the few of ``fresh``. Document frequencies are counted on the query's own postings."""
+
+    @classmethod
+    def over(cls, base: PostingIndex, changed: DataFrame, fresh: DataFrame, names: list[str], sizes: dict[str, tuple[int, int]]) -> LayeredIndex:
+        columns = ["field", "term", "seq", "id", "tf", "positions", "length"]
+        kept = base.postings.join(changed, "id", "left_anti").select(columns)
+        both = kept.unionByName(build_postings(fresh, names).select(columns))
+        return cls(both, both.groupBy("field", "term").agg(F.count("*").alias("df")), sizes)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.functions.analysis import StandardAnalyzer, keyword_tokens
@@ -21,6 +21,7 @@ from quillon.operators.sorting import SortKey, check_sort, ordering, parse_sort
 from quillon.plans.compile import Clause, Compiler, Group, Statistics, analyse, needs_all_documents, positive_terms, range_filter, wanted_numbers, wanted_terms
 from quillon.plans.shipping import ensure_importable
 from quillon.plans.syntax import MAX_CLAUSES, Node, parse
+from quillon.plans.workspace import read_buckets, write_buckets
 
 DEFAULT_LIMIT, MAX_LIMIT, MAX_OFFSET = 10, 100, 1_000_000
 
@@ -50,8 +51,8 @@ class SearchResult:
     def hits(self, highlight: bool = False, highlighter: Highlighter | None = None) -> DataFrame:
         """The page with its documents: ``rank, id, score, fields`` and, if asked for, ``highlights``.
 
-        The page (at most 100 rows) is fetched first, so that the documents are read by a filter on their ``seq``
-        that the scan can use to skip row groups.
+        The page (at most 100 rows) is fetched first, so that the documents are read by a filter on their ``seq``:
+        of stored documents only the buckets that have them, and there only the pages.
         """
         spark = self.ranked.sparkSession
         page = [(n, r.seq, r.id, r.score) for n, r in enumerate(self.ranked.collect())]
@@ -80,6 +81,7 @@ class Collection:
     bm25: BM25 = field(default_factory=BM25)
     analysed: DataFrame | None = None
     index: PostingIndex | None = None
+    sizes: dict[str, tuple[int, int]] | None = None
 
     def __post_init__(self) -> None:
         ensure_importable(self.docs.sparkSession)
@@ -97,20 +99,44 @@ class Collection:
             return self.analysed
         return self.docs.withColumns({f"_t_{f}": self.tokens_of(f) for f in (self.searchable if names is None else names)})
 
+    def with_lengths(self) -> DataFrame:
+        """``with_tokens`` and the number of terms of each field, in a small column of its own; null without the field."""
+        analysed = self.with_tokens()
+        return analysed.withColumns({f"_len_{f}": F.when(F.col(f"_t_{f}").isNotNull(), F.size(f"_t_{f}")) for f in self.searchable})
+
     def prepare(self, path: str, partitions: int | None = None) -> Collection:
         """Analyses once and stores the documents with their token columns; queries then never analyse text.
 
-        Texts are spread before they are analysed, as one input file may be one task.
+        The documents are bucketed by ``seq`` and sorted by it: a page reads the buckets of its documents only, and
+        postings are made without a shuffle. Texts are spread before they are analysed, as one input file may be one
+        task. The sizes of the fields are observed on the way.
         """
-        spark = self.docs.sparkSession
-        spread = self.docs.repartition(partitions) if partitions else self.docs
-        replace(self, docs=spread, analysed=None).with_tokens().write.mode("overwrite").parquet(path)
-        stored = spark.read.parquet(path)
-        return replace(self, docs=stored.drop(*(f"_t_{f}" for f in self.searchable)), analysed=stored)
+        spark, names, seen = self.docs.sparkSession, self.searchable, Observation()
+        n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        made = replace(self, docs=self.docs.repartition(n, "seq"), analysed=None).with_lengths()
+        write_buckets(made.observe(seen, *self._size_columns(names)), path, "seq", n)
+        return self.prepared(read_buckets(spark, path, made.schema, "seq", n), sizes_of(names, seen.get))
+
+    def prepared(self, stored: DataFrame, sizes: dict[str, tuple[int, int]]) -> Collection:
+        """The collection over documents with token columns that are stored already."""
+        extra = [f"{p}{f}" for f in self.searchable for p in ("_t_", "_len_")]
+        return replace(self, docs=stored.drop(*extra), analysed=stored, sizes=sizes)
+
+    @staticmethod
+    def _size_columns(names: list[str]) -> list[Column]:
+        counts = [F.count(f"_len_{f}").alias(f"n{k}") for k, f in enumerate(names)]
+        return [F.count(F.lit(1)).alias("docs"), *counts, *(F.sum(f"_len_{f}").alias(f"l{k}") for k, f in enumerate(names))]
+
+    def measured(self) -> dict[str, tuple[int, int]]:
+        """By field, the number of documents that have it and their terms; counted if ``prepare`` did not observe them."""
+        if self.sizes is None:
+            row = self.with_lengths().agg(*self._size_columns(self.searchable)).first()
+            self.sizes = sizes_of(self.searchable, row.asDict())
+        return self.sizes
 
     def with_index(self, path: str) -> Collection:
         """The collection with postings built at ``path``."""
-        return replace(self, index=PostingIndex.build(self.with_tokens(), self.searchable, path))
+        return replace(self, index=PostingIndex.build(self.with_tokens(), self.searchable, path, self.measured()))
 
     def statistics(self, terms: list[tuple[str, str]]) -> Statistics:
         """Statistics over all documents for just the fields and terms of a query: one row."""
@@ -194,6 +220,8 @@ class Collection:
         places = [F.first(F.when((F.col("field") == f) & (F.col("term") == t), F.col("positions")), True).alias(f"_p{k}") for k, (f, t) in enumerate(terms)]
         sizes = [F.max(F.when(F.col("field") == f, F.col("length"))).alias(f"_l{k}") for k, f in enumerate(lengths)]
         everything = needs_all_documents(tree)
+        if len(terms) == 1 and not everything and not numbers and not keys:  # a document has one posting of a term
+            return hits.select("seq", "id", F.col("positions").alias("_p0"), F.col("length").alias("_l0"))
         found = hits.groupBy("seq").agg(F.first("id").alias("id"), *places, *sizes) if terms else None
         if found is None and not everything:
             return self.docs.where(F.lit(False)).select("seq", "id", *self._plain(numbers, keys))
@@ -254,6 +282,10 @@ class Collection:
         return self.docs.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("docs"))
 
 
+def sizes_of(names: list[str], row: dict) -> dict[str, tuple[int, int]]:
+    return {f: (row[f"n{k}"], row[f"l{k}"] or 0) for k, f in enumerate(names)}
+
+
 def _is(term: str):  # noqa: ANN202
     return lambda x: x["term"] == F.lit(term)
 

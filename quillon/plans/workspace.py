@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from quillon.errors import NoSharedFolder
 
@@ -100,16 +101,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return made
 
 
-def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
-    """``df`` written once to the shared folder, bucketed by ``key``: later joins and groups on it need no shuffle.
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int, order: tuple[str, ...] = ()) -> None:
+    """Stores ``df`` at ``path``, its rows spread over buckets by ``key`` and sorted in each."""
+    spark, name = df.sparkSession, f"quillon_{uuid.uuid4().hex}"
+    try:
+        df.write.mode("overwrite").bucketBy(buckets, key).sortBy(*(order or (key,))).option("path", path).saveAsTable(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """What ``write_buckets`` stored: grouping and joining by ``key`` needs no shuffle, filters on it read few buckets.
 
     The frame names its files; the catalog entry, which says how they are bucketed, is dropped at once.
     """
-    spark = df.sparkSession
-    name, path = f"quillon_{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"quillon_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     try:
-        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
         return spark.table(name)
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"DROP TABLE {name}")
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` written once to the shared folder, bucketed by ``key``."""
+    path, n = scratch_path(df.sparkSession, label), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_buckets(df.repartition(n, key), path, key, n)
+    return read_buckets(df.sparkSession, path, df.schema, key, n)

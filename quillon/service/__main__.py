@@ -19,7 +19,7 @@ _TEXT = {"title": "text", "body": "text"}
 def start(spark: SparkSession, config: Config) -> Engine:
     """The engine of a configuration; each import is done once, whatever the number of starts."""
     schemas = {DEFAULT_TABLE: config.mapping} if config.mapping else {}
-    engine = Engine(spark, config.root, config.make_analyzer(), BM25(config.k1, config.b), schemas | config.tables)
+    engine = Engine(spark, config.root, config.make_analyzer(), BM25(config.k1, config.b), schemas | config.tables, indexed=True)
     table = engine.table()
     if config.corpus:
         table.import_once(f"corpus:{config.corpus}", read_folder(spark, config.corpus), _TEXT)
