@@ -100,7 +100,7 @@ def format_date(millis: int) -> str:
     """RFC 3339 in UTC with as many decimals as needed."""
     moment = _EPOCH + timedelta(milliseconds=int(millis))
     fraction = f".{int(millis) % 1000:03d}".rstrip("0").rstrip(".")
-    return moment.strftime("%Y-%m-%dT%H:%M:%S") + fraction + "Z"
+    return moment.replace(microsecond=0, tzinfo=None).isoformat() + fraction + "Z"
 
 
 def millis_of(column: Column, data_type: T.DataType) -> Column:
@@ -117,3 +117,35 @@ def moment(millis: int, data_type: T.DataType) -> Column:
         return F.timestamp_millis(F.lit(int(millis)))
     text = (_EPOCH + timedelta(milliseconds=int(millis))).strftime("%Y-%m-%d %H:%M:%S.%f")
     return F.lit(text).cast("timestamp_ntz")
+
+
+def number_text(value: Column) -> Column:
+    """``format_number`` for a column of doubles, inside the JVM; null for null and for what is not finite.
+
+    The JVM's text (``123.0``, ``1.5E-7``) has the digits; their places are set anew. It is the shortest from Java 19
+    on; before, a few numbers near the limits of doubles have a digit more, which reads back as the same number.
+    """
+    text = F.abs(value).cast("string")
+    part = lambda k: F.regexp_extract(text, r"^(\d+)\.(\d+)(?:E(-?\d+))?$", k)
+    digits = F.ltrim(F.concat(part(1), F.rtrim(part(2), F.lit("0"))), F.lit("0"))
+    zeros = F.length(F.regexp_extract(F.concat(part(1), part(2)), "^0*", 0))
+    point = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) - zeros
+    digits = F.rtrim(digits, F.lit("0"))
+    power, size = point - 1, F.length(digits)
+    exponent = F.concat(F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), F.lit("0")))
+    scientific = F.concat(F.left(digits, F.lit(1)), F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(""), exponent)
+    below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    plain = F.concat(F.rpad(F.left(digits, point), point, F.lit("0")), F.when(size > point, F.concat(F.lit("."), F.substring(digits, point + 1, size))).otherwise(""))
+    shown = F.when(value == 0, "0").when((power < -4) | (power >= 6), scientific).when(point <= 0, below).otherwise(plain)
+    negative = (value < 0) | text.startswith("-") | value.cast("string").startswith("-")
+    return F.when(F.abs(value) < float("inf"), F.concat(F.when(negative, "-").otherwise(""), shown))
+
+
+def date_text(millis: Column) -> Column:
+    """``format_date`` for a column of milliseconds since 1970, inside the JVM."""
+    seconds, rest = F.floor(millis / 1000), F.pmod(millis, F.lit(1000))
+    fraction = F.rtrim(F.rtrim(F.concat(F.lit("."), F.lpad(rest.cast("string"), 3, "0")), F.lit("0")), F.lit("."))
+    day = F.dateadd(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    clock = F.pmod(seconds, F.lit(86400))
+    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
+    return F.concat(day.cast("string"), F.lit("T"), two(clock / 3600), F.lit(":"), two(F.pmod(clock, F.lit(3600)) / 60), F.lit(":"), two(F.pmod(clock, F.lit(60))), fraction, F.lit("Z"))

@@ -14,16 +14,34 @@ from quillon.plans.compile import Statistics
 _POSTINGS = "term STRING, seq BIGINT, id STRING, tf INT, positions ARRAY<INT>, length INT, field STRING"
 
 
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _by_term(tokens: Column) -> Column:
+    """The terms of a token array, which is not empty, in order, each with its positions."""
+
+    def starts(found: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: ~F.get(found, i)["term"].eqNullSafe(F.get(found, i - 1)["term"]))
+
+    def entries(found: Column) -> Column:
+        end = lambda at, k: F.coalesce(F.get(at, k + 1), F.size(found))
+        positions = lambda at, i, k: F.transform(F.slice(found, i + 1, end(at, k) - i), lambda x: x["pos"])
+        return _let(starts(found), lambda at: F.transform(at, lambda i, k: F.struct(F.get(found, i)["term"].alias("term"), positions(at, i, k).alias("positions"))))
+
+    return _let(F.sort_array(tokens), entries)
+
+
 def build_postings(analysed: DataFrame, fields: list[str]) -> DataFrame:
     """``field, term, seq, id, tf, positions, length`` from documents with token columns.
 
-    A group never crosses a document: where the documents are bucketed by ``seq``, this needs no shuffle.
+    A group never crosses a document, so the tokens are sorted and grouped inside the row: no shuffle, no aggregation.
     """
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("tokens"), F.size(f"_t_{f}").alias("length")) for f in fields))
     by_field = analysed.select("seq", "id", F.inline(each)).where("length > 0")
-    rows = by_field.select("seq", "id", "field", "length", F.inline("tokens"))
-    grouped = rows.groupBy("seq", "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"), F.first("id").alias("id"), F.first("length").alias("length"))
-    return grouped.select("field", "term", "seq", "id", F.size("positions").alias("tf"), "positions", "length")
+    rows = by_field.select("seq", "id", "field", "length", F.inline(_by_term(F.col("tokens"))))
+    return rows.select("field", "term", "seq", "id", F.size("positions").alias("tf"), "positions", "length")
 
 
 def posted(terms: list[tuple[str, str]]) -> Column:

@@ -8,14 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillon.functions.analysis import StandardAnalyzer, keyword_tokens
 from quillon.functions.highlight import Highlighter
 from quillon.functions.scoring import BM25
-from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, format_date, format_number, millis_of
+from quillon.functions.values import DATE, KEYWORD, NUMBER, TEXT, date_text, millis_of, number_text
 from quillon.operators.index import PostingIndex
 from quillon.operators.sorting import SortKey, check_sort, ordering, parse_sort
 from quillon.plans.compile import Clause, Compiler, Group, Statistics, analyse, needs_all_documents, positive_terms, range_filter, wanted_numbers, wanted_terms
@@ -234,20 +233,13 @@ class Collection:
 
     def rendered_fields(self) -> Column:
         """All fields of a document as text: ``map<string, string>`` without the missing ones."""
-
-        def numbers(values: pa.Array) -> pa.Array:
-            return pa.array([None if v is None else format_number(float(v)) for v in values.to_pylist()], pa.string())
-
-        def dates(values: pa.Array) -> pa.Array:
-            return pa.array([None if v is None else format_date(v) for v in values.to_pylist()], pa.string())
-
         entries = []
         for name, kind in sorted(self.kinds.items()):
             value = F.col(name)
             if kind == NUMBER:
-                value = F.arrow_udf(numbers, "string")(value.cast("double"))
+                value = number_text(value.cast("double"))
             elif kind == DATE:
-                value = F.arrow_udf(dates, "string")(millis_of(value, self.docs.schema[name].dataType))
+                value = date_text(millis_of(value, self.docs.schema[name].dataType))
             entries += [F.lit(name), value.cast("string")]
         return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
 

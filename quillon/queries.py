@@ -350,7 +350,7 @@ def p1_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def compaction_state(spark: SparkSession, folder: str) -> DataFrame:
     """The live documents by table after the feed was appended in runs and compacted."""
-    store = ChangeStore.open(spark, scratch_path(spark, "compaction")).append(table(spark, folder, "changelog"), F.date_format("received_at", "yyyyMMddHH")).compact()
+    store = ChangeStore.open(spark, scratch_path(spark, "compaction")).append(table(spark, folder, "changelog"), F.date_format("received_at", "yyyyMMdd")).compact()
     return store.live().groupBy("tbl").agg(F.count("*").alias("docs"), F.max("seq").alias("last_seq"))
 
 

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import errors
 from quillon.functions.analysis import KEEP_ALL
-from quillon.functions.values import format_date, format_number, parse_date, parse_number
+from quillon.functions.values import date_text, format_date, format_number, number_text, parse_date, parse_number
 from quillon.operators.search import Collection
 from quillon.operators.sorting import parse_sort
 from quillon.plans.syntax import Bool, Term
@@ -187,6 +189,17 @@ def test_empty_collection(spark, tmp_path):
     assert empty.table_stats().first().docs == 0
 
 
+def test_values_as_text_in_the_jvm(spark):
+    rng = random.Random(4)
+    numbers = [0.0, -0.0, 1.0, 10.0, -1.5, 100.0, 0.1, 999999.0, 999999.5, 1e6, 1234567.0, 1e-4, 9.5e-5, 1e-5, -2.5e-300, 1e21, 1e22, 1.7976931348623157e308, 123.456, 2.0**53]
+    numbers += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-12, 12) for _ in range(500)]
+    moments = [0, 1, -1, 999, 1000, 86_399_999, -86_400_000, 1_705_276_800_120, -62_135_596_800_000, 253_402_300_799_999] + [rng.randrange(-10**13, 10**13) for _ in range(200)]
+    made = spark.createDataFrame([(x,) for x in [*numbers, None, float("nan"), float("inf")]], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    assert all(r.t == format_number(r.x) for r in made[:-3]) and [r.t for r in made[-3:]] == [None] * 3
+    shown = spark.createDataFrame([(x,) for x in moments], "x long").select("x", date_text(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in shown if r.t != format_date(r.x)] == []
+
+
 def test_values():
     shown = {1e6: "1e+06", 999999.0: "999999", 0.0001: "0.0001", 1e-5: "1e-05", -1.5: "-1.5", 1234567.0: "1.234567e+06", 0.0: "0", 100.0: "100"}
     for value, text in shown.items():
