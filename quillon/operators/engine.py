@@ -260,6 +260,23 @@ class Table:
     def delete(self, id: str) -> None:
         self._change_one((id.strip(), True, {}), lambda found: None if found else DocumentNotFound(f"there is no document {id!r}"))
 
+    def delete_frame(self, frame: DataFrame, id: str = "id") -> None:
+        """Deletes the documents whose ids a frame has; ids that no document has, and null ones, change nothing."""
+        with self._writing():
+            base = self._store.reserve(frame.rdd.getNumPartitions() << 33)
+            gone = frame.select(
+                F.lit(self.name).alias("tbl"),
+                F.col(id).cast("string").alias("external"),
+                (F.monotonically_increasing_id() + base).alias("seq"),
+                F.lit("delete").alias("op"),
+                F.lit(True).alias("deleted"),
+                F.lit(None).cast("map<string,string>").alias("doc_fields"),
+                F.lit(None).cast("map<string,string>").alias("declared"),
+                F.current_timestamp().alias("received_at"),
+            )
+            self._store.append(gone, meta=_index_before)
+        self._tidy()
+
     def maybe_compact(self) -> bool:
         """Compacts when the log has grown far beyond the live documents; called after every write.
 

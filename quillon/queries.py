@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions.analysis import KEEP_ALL, STOP_WORDS, StandardAnalyzer
 from quillon.functions.highlight import Highlighter
 from quillon.operators.changes import ChangeStore, current_documents
+from quillon.operators.engine import Engine, Table
 from quillon.operators.search import Collection
 from quillon.plans.syntax import Bool, Term
 from quillon.plans.tables import table
@@ -139,8 +140,8 @@ def _hits(sql: str, tail: str = "") -> str:
 _TOP = "ORDER BY h.score DESC, seq LIMIT 10"
 _register("term_bm25", _page("planner"), _hits(_term("planner"), _TOP))
 _register("term_all_hits", _all_hits("planner"), _hits(_term("planner")))
-_register("term_multi_field", _all_hits("manual"), _hits(_term("manual")))
-_register("term_fields", _all_hits("manual", fields=["source", "nope"]), _hits(_term("manual", ("source",))))
+_register("term_multi_field", _all_hits("catalog"), _hits(_term("catalog")))
+_register("term_fields", _all_hits("catalog", fields=["source", "nope"]), _hits(_term("catalog", ("source",))))
 _register("term_or", _all_hits("planner quota"), _hits(_or(_term("planner"), _term("quota"))))
 _register("term_and", _all_hits("planner AND quota"), _hits(_and(_term("planner"), _term("quota"))))
 _register("default_and", _all_hits("planner quota", default_and=True), _hits(_and(_term("planner"), _term("quota"))))
@@ -149,19 +150,20 @@ _register("only_negative", _all_hits("-planner"), _hits(_minus(_rows(), _term("p
 _register("or_with_negative", _all_hits("quota OR -planner"), _hits(_or(_term("quota"), _minus(_rows(), _term("planner")))))
 _register("should_boost", _all_hits(Bool(must=[Term("planner")], should=[Term("quota")])), _hits(_boost(_term("planner"), _term("quota"))))
 _register("grouping", _all_hits("(planner OR quota) AND index"), _hits(_and(_or(_term("planner"), _term("quota")), _term("index"))))
-_register("phrase", _all_hits('"inverted index"'), _hits(_phrase(("inverted", 0), ("index", 1))))
-_register("phrase_gap", _all_hits('"order of the corpus"'), _hits(_phrase(("order", 0), ("corpus", 3))))
-_register("split_word_phrase", _all_hits("top-level"), _hits(_phrase(("top", 0), ("level", 1))))
+_register("precedence", _all_hits("planner quota AND index"), _hits(_and(_and(_term("planner"), _term("quota")), _term("index"))))
+_register("phrase", _all_hits('"kurze Felder"'), _hits(_phrase(("kurze", 0), ("felder", 1))))
+_register("phrase_gap", _all_hits('"column of the list" "catalog of the counter"'), _hits(_or(_phrase(("column", 0), ("list", 3)), _phrase(("catalog", 0), ("counter", 3)))))
+_register("split_word_phrase", _all_hits("Kurze-Felder", fields=["text"]), _hits(_phrase(("kurze", 0), ("felder", 1))))
 _register("cjk_phrase", _all_hits("倒排表"), _hits(_phrase(("倒", 0), ("排", 1), ("表", 2))))
 _register("field_text", _all_hits("text:planner", fields=["lang"]), _hits(_term("planner", ("text",))))
 _register("keyword_exact", _all_hits("lang:EN"), _hits(_term("en", ("lang",))))
-_register("number_eq", _all_hits("n_chars:500"), _hits(_rows("n_chars = 500")))
-_register("range_closed", _all_hits("n_chars:[100 TO 500]"), _hits(_rows("n_chars BETWEEN 100 AND 500")))
-_register("range_open", _all_hits("n_chars:{100 TO 500}"), _hits(_rows("n_chars > 100 AND n_chars < 500")))
-_register("range_half", _all_hits("n_chars:[100 TO 500}"), _hits(_rows("n_chars >= 100 AND n_chars < 500")))
+_register("number_eq", _all_hits("n_chars:459"), _hits(_rows("n_chars = 459")))
+_register("range_closed", _all_hits("n_chars:[459 TO 514]"), _hits(_rows("n_chars BETWEEN 459 AND 514")))
+_register("range_open", _all_hits("n_chars:{459 TO 514}"), _hits(_rows("n_chars > 459 AND n_chars < 514")))
+_register("range_half", _all_hits("n_chars:[459 TO 514}"), _hits(_rows("n_chars >= 459 AND n_chars < 514")))
 _register("range_unbounded", _all_hits("n_chars:[* TO 500]"), _hits(_rows("n_chars <= 500")))
 _register("range_reversed_is_empty", _all_hits("n_chars:[500 TO 100]"), _hits(_rows("false")))
-_register("compare_ops", _all_hits("n_chars:>=100 AND n_chars:<500"), _hits(_rows("n_chars >= 100 AND n_chars < 500")))
+_register("compare_ops", _all_hits("n_chars:>459 AND n_chars:<=514"), _hits(_rows("n_chars > 459 AND n_chars <= 514")))
 _register("date_range", _all_hits("added_at:[2031-03-02 TO 2031-03-05T12:00:00Z]"), _hits(_rows("date_trunc('millisecond', added_at) BETWEEN '2031-03-02' AND '2031-03-05 12:00:00'")))
 _register("date_compare", _all_hits("added_at:>2031-03-05"), _hits(_rows("date_trunc('millisecond', added_at) > '2031-03-05'")))
 _register("range_and_text", _all_hits("planner AND n_chars:[100 TO 2000]"), _hits(_and(_term("planner"), _rows("n_chars BETWEEN 100 AND 2000"))))
@@ -242,6 +244,16 @@ def posting_ids(spark: SparkSession, folder: str) -> DataFrame:
 _register("posting_ids", posting_ids, f"WITH {_TOKENS} SELECT DISTINCT seq FROM tok WHERE field = 'text' AND term = 'quota'")
 
 
+def posting_point(spark: SparkSession, folder: str) -> DataFrame:
+    """The posting of a term in one document: the first that has it."""
+    index = documents(spark, folder).index
+    first = index.lookup([("text", "planner")]).agg(F.min("seq")).first()[0]
+    return index.point("text", "planner", first).select("seq", "tf", "length")
+
+
+_register("posting_point", posting_point, f"WITH {_TOKENS} SELECT seq, count(*)::INT AS tf, any_value(dl)::INT AS length FROM tok JOIN len USING (seq, field) WHERE field = 'text' AND term = 'planner' GROUP BY seq ORDER BY seq LIMIT 1")
+
+
 def doc_freq(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).index.lists.select("field", "term", "df")
 
@@ -333,8 +345,51 @@ def highlight_whole(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", marked.alias("snippet")).where("snippet <> ''")
 
 
-_register("highlight", highlight)
-_register("highlight_whole", highlight_whole)
+# A private-use character stands around each CJK character while a text is cut, so that it is a word of its own.
+_ASIDE = chr(0xE000)
+_ANY_WORD = r"[\p{L}\p{Nd}]+(?:[''’][\p{L}\p{Nd}]+)*"
+
+
+def _folded(word: str) -> str:
+    return f"lower(translate(replace({word}, '’', ''''), '{_WIDE}', '{_NARROW}'))"
+
+
+def _html(text: str) -> str:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("''", "&#39;")):
+        text = f"replace({text}, '{char}', '{entity}')"
+    return text
+
+
+def _cut(source: str) -> str:
+    """Gaps and words by turns (``piece``, in order of ``i``) of the ``text`` of each row of ``source``."""
+    aside = rf"regexp_replace(text, '([{_CJK}])', '{_ASIDE}\1{_ASIDE}', 'g')"
+    lists = f"SELECT *, regexp_extract_all(x, '{_ANY_WORD}') AS ws, string_split_regex(x, '{_ANY_WORD}') AS gs FROM (SELECT *, {aside} AS x FROM {source})"
+    numbered = f"SELECT *, unnest(range(1, 2 * len(ws) + 2)) AS i FROM ({lists})"
+    return f"SELECT * EXCLUDE (x, ws, gs), replace(CASE WHEN i % 2 = 1 THEN gs[(i + 1) // 2] ELSE ws[i // 2] END, '{_ASIDE}', '') AS piece FROM ({numbered})"
+
+
+_SNIPPETS = f"""
+WITH {_TOKENS}, h AS ({_or(_term('planner'), _term('quota'))}),
+page AS (SELECT row_number() OVER (ORDER BY h.score DESC, seq) - 1 AS rank, doc_id, text FROM h JOIN documents d ON d.doc_id = h.seq ORDER BY h.score DESC, seq LIMIT 10),
+pieces AS (SELECT *, octet_length(encode(piece)) AS bytes, i % 2 = 0 AND {_folded('piece')} IN ('planner', 'quota') AS marked FROM ({_cut('page')})),
+placed AS (SELECT *, sum(bytes) OVER (PARTITION BY rank ORDER BY i) - bytes AS start, sum(bytes) OVER (PARTITION BY rank) AS size FROM pieces),
+framed AS (SELECT *, CASE WHEN size <= 160 THEN 0 ELSE greatest(0, least(min(CASE WHEN marked THEN start END) OVER (PARTITION BY rank) - 40, size - 160)) END AS low FROM placed),
+chars AS (SELECT *, substr(piece, k, 1) AS c, start + octet_length(encode(substr(piece, 1, k - 1))) AS place FROM (SELECT *, unnest(range(1, length(piece) + 1)) AS k FROM framed)),
+shown AS (SELECT *, min(place) OVER w AS head, max(place + octet_length(encode(c))) OVER w AS tail FROM chars WHERE place + octet_length(encode(c)) > low AND place < low + 160 WINDOW w AS (PARTITION BY rank)),
+done AS (SELECT *, marked AND start >= head AND start + bytes <= tail AS whole FROM shown)
+SELECT rank::INT AS rank, doc_id::VARCHAR AS id,
+    CASE WHEN any_value(head) > 0 THEN '…' ELSE '' END
+    || string_agg(CASE WHEN whole AND k = 1 THEN '<em>' ELSE '' END || {_html('c')} || CASE WHEN whole AND k = length(piece) THEN '</em>' ELSE '' END, '' ORDER BY i, k)
+    || CASE WHEN any_value(tail) < any_value(size) THEN '…' ELSE '' END AS snippet
+FROM done GROUP BY rank, doc_id
+"""
+_register("highlight", highlight, _SNIPPETS)
+_register(
+    "highlight_whole",
+    highlight_whole,
+    f"""WITH p AS (SELECT doc_id, i, {_html('piece')} AS shown, i % 2 = 0 AND {_folded('piece')} = 'planner' AS marked FROM ({_cut('(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)')}))
+    SELECT doc_id, string_agg(CASE WHEN marked THEN '<em>' || shown || '</em>' ELSE shown END, '' ORDER BY i) AS snippet FROM p GROUP BY doc_id HAVING bool_or(marked)""",
+)
 
 # --- change log ---
 
@@ -366,6 +421,56 @@ _register("p1_found", p1_found, f"{_LIVE} SELECT tbl, external, seq FROM live")
 _register("p1_documents", p1_documents, f"{_LIVE} SELECT tbl, external, unnest(map_keys(doc_fields)) AS name, unnest(map_values(doc_fields)) AS value FROM live")
 _register("compaction_state", compaction_state, f"{_LIVE} SELECT tbl, count(*) AS docs, max(seq) AS last_seq FROM live GROUP BY tbl")
 
+
+
+def held_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as they were before the second half of the feed arrived and everything was compacted, twice."""
+    feed = table(spark, folder, "changelog")
+    half = feed.agg((F.min("rec_id") + F.max("rec_id")) / 2).first()[0]
+    store = ChangeStore.open(spark, scratch_path(spark, "held")).append(feed.where(F.col("rec_id") <= half))
+    held = store.live()
+    store.compact().append(feed.where(F.col("rec_id") > half)).compact()
+    return held.select("tbl", "external", "seq")
+
+
+_register("held_snapshot", held_snapshot, f"{_LIVE} SELECT tbl, external, seq FROM live".replace("FROM changelog WHERE", "FROM changelog WHERE rec_id <= (SELECT (min(rec_id) + max(rec_id)) / 2.0 FROM changelog) AND"))
+
+# --- tables of the engine ---
+
+
+def _engine_table(spark: SparkSession, folder: str) -> Table:
+    """Documents imported twice (once in effect), those in French written again with another source, and those of blogs deleted."""
+    engine = Engine(spark, scratch_path(spark, "engine"))
+    found, rows = engine.create_table("documents", {"added_at": "date"}), table(spark, folder, "documents").withColumn("id", F.concat(F.lit(" "), "doc_id"))
+    for _ in range(2):
+        found.import_once("documents", rows.where(F.greatest(*(F.col(c).isNotNull() for c in DOCUMENT_KINDS))), DOCUMENT_KINDS)
+    return found
+
+
+def _edited(spark: SparkSession, folder: str, found: Table) -> Table:
+    rows = table(spark, folder, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    found.upsert_frame(rows.where("lang = 'fr'").withColumn("source", F.lit("Edited planner")), DOCUMENT_KINDS)
+    found.delete_frame(rows.where("source = 'blog' AND coalesce(lang, '') <> 'fr'"))
+    return found
+
+
+def engine_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of a table after an import, changes and deletions, typed."""
+    found = _edited(spark, folder, _engine_table(spark, folder))
+    return found.collection().docs.select("id", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars"), F.unix_millis("added_at").alias("added_ms"))
+
+
+def engine_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search by an index that was built before the changes and deletions."""
+    found = _engine_table(spark, folder)
+    found.build_index()
+    return _edited(spark, folder, found).search("planner").matches.select("id", F.round("score", 6).alias("score"))
+
+
+_EDITED = "(SELECT * REPLACE (CASE WHEN lang = 'fr' THEN 'Edited planner' ELSE source END AS source) FROM documents WHERE NOT (coalesce(source, '') = 'blog' AND coalesce(lang, '') <> 'fr'))"
+_register("engine_table", engine_table, f"SELECT doc_id::VARCHAR AS id, lang, source, n_chars, epoch_us(added_at) // 1000 AS added_ms FROM {_EDITED}")
+_register("engine_search", engine_search, f"WITH edited AS {_EDITED}, {_TOKENS.replace('documents', 'edited')}, h AS ({_term('planner')}) SELECT seq::VARCHAR AS id, round(score, 6) AS score FROM h")
+
 # --- streaming ---
 
 
@@ -425,4 +530,14 @@ _register(
     range_and_sort_without_text,
     _hits(_minus(_and(_term("fr", ("lang",)), _rows("n_chars > 1000")), _term("manual", ("source",))), "ORDER BY n_chars DESC NULLS LAST, origin NULLS LAST, seq LIMIT 60"),
 )
-_register("chinese_tokens", chinese_tokens)
+_DICTIONARY = "|".join(sorted(CHINESE_WORDS.split(), key=len, reverse=True))
+# No word of this dictionary ends as another begins, so the longest word at each place is the best segmentation.
+_SEGMENTED = rf"regexp_extract_all(regexp_replace(text, '({_DICTIONARY}|[{_CJK}])', ' \1 ', 'g'), '{_ANY_WORD}')"
+_register(
+    "chinese_tokens",
+    chinese_tokens,
+    f"""WITH f AS (SELECT doc_id, 'title' AS field, title AS text FROM articles UNION ALL SELECT doc_id, 'body', body FROM articles),
+    w AS (SELECT doc_id, field, ws[i] AS word, (i - 1)::INT AS pos FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, field, {_SEGMENTED} AS ws FROM f))),
+    t AS (SELECT doc_id, field, {_folded('word')} AS term, pos FROM w UNION ALL SELECT doc_id, field, unnest(['用户', '词表']), pos FROM w WHERE word = '用户词表')
+    SELECT * FROM t WHERE regexp_full_match(term, '[\\p{{Hiragana}}\\p{{Katakana}}]') OR (length(term) >= 2 AND term NOT IN ({_STOP}))""",
+)
