@@ -105,7 +105,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
     weights = {s: max(0.0, r.weight or 0.0) for s, r in rules.items()}
     caps = {s: float(max(0, r.max_repeats if r.max_repeats is not None else 1)) for s, r in rules.items()}
     sized = sized_documents(documents, sorted(rules), vocabulary)
-    sizes = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("count"))
+    # The dual depends on the sizes alone: each Newton step reads this histogram, not the documents.
+    sizes = materialise(sized.groupBy("source", "n_tokens").agg(F.count("*").alias("count")))
     have = {r.source: r for r in sizes.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("count")).alias("tokens"), F.sum("count").alias("docs")).collect()}
     total = float(sum(r.tokens for r in have.values()))
     most = {s: caps[s] * (have[s].tokens if s in have else 0) for s in rules}
@@ -122,11 +123,15 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCA
     uniform = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     part = F.col("rate") - F.col("whole")
     drawn = rated.withColumn("draw", F.when(part > 1e-9, F.least(uniform / part, F.lit(2.0))))
-    bins = drawn.where("draw IS NOT NULL").groupBy("source", F.least(F.floor(F.col("draw") * (BINS // 2)), F.lit(BINS - 1)).alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
-    fixed = {r.source: r.tokens for r in rated.groupBy("source").agg(F.sum(F.col("whole") * F.col("n_tokens")).alias("tokens")).collect()}
+    # One pass gives the tokens of the whole copies of a source, and those of its broken copies by draw.
+    bin_ = F.least(F.floor(F.col("draw") * (BINS // 2)), F.lit(BINS - 1))
+    counted = drawn.groupBy("source", bin_.alias("bin")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("whole") * F.col("n_tokens")).alias("fixed")).collect()
+    fixed: dict[str, int] = {}
+    for r in counted:
+        fixed[r.source] = fixed.get(r.source, 0) + r.fixed
     below: dict[str, float] = dict.fromkeys(wanted, 0.0)
     reached = {s: float(fixed.get(s, 0)) for s in wanted}
-    for r in sorted((r for r in bins.collect() if r.source in wanted), key=lambda r: (r.source, r.bin)):
+    for r in sorted((r for r in counted if r.source in wanted and r.bin is not None), key=lambda r: (r.source, r.bin)):
         if abs(reached[r.source] + r.tokens - wanted[r.source]) <= abs(reached[r.source] - wanted[r.source]) and below[r.source] >= 0:
             reached[r.source] += r.tokens
             below[r.source] = (r.bin + 1) / (BINS // 2)
