@@ -4,8 +4,10 @@ The words of a collection are its vocabulary. A word that is written in plain ch
 canonical spelling. Any other word is matched against the canonical spellings: a weighted edit automaton reads its
 characters as they are and walks the trie of the spellings, where arcs of look-alike characters, presentation forms and
 ignorable characters cost nothing and all else costs 1; within a budget of 0 it reaches just the spellings that look
-the same. One in ASCII is chosen, else the most frequent of them; a word that matches none is normalised by table. The
-table also says which words go to one task: those that the automaton could match.
+the same. One in ASCII is chosen, so that words in ASCII, by far the most, need no lookup; else the most frequent of
+them. A word that matches none is normalised by table: into the one alphabet besides Latin that it has letters of, if that has letters of
+the look of all of them, else into Latin. The table also says which words go to one task: those that the automaton
+could match.
 
 In text in lower case (``lowered``) a look-alike capital has become the small letter of its alphabet, which looks
 different. Where a word is of mixed alphabets and matches no spelling, such letters may stand for those of the capital;
@@ -30,11 +32,27 @@ from quillon.llm.articles import live_articles
 from quillon.plans.shipping import ensure_importable
 from quillon.plans.workspace import materialise
 
-# Letters of other alphabets and the Latin letters that look like them.
-LOOK_ALIKES = dict(zip(
-    "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρα" "օսհ" "ɑɡ",
-    "ABESIJKMHOPCTYXaeopcyxsijhdqw" "ABEZHIKMNOPTYXovpa" "ouh" "ag",
-))
+def _pairs(*rows: tuple[str, str]) -> dict[str, str]:
+    return {c: latin for letters, looks in rows for c, latin in zip(letters, looks, strict=True)}
+
+
+# Letters of other alphabets with the Latin letters that look like them; first those in common use.
+COMMON_LOOK_ALIKES = _pairs(
+    ("АВЕЅІЈКМНОРСТУХ", "ABESIJKMHOPCTYX"),  # Cyrillic
+    ("аеорсухѕіј", "aeopcyxsij"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek
+    ("αγινορσυ", "ayivopou"),
+    ("ՏՍՕ", "SUO"),  # Armenian
+    ("զհոսցօ", "qhnugo"),
+)
+LOOK_ALIKES = COMMON_LOOK_ALIKES | _pairs(
+    ("ӀҮѴԌԚԜ", "IYVGQW"),  # Cyrillic
+    ("һԁԛԝӏүѵ", "hdqwlyv"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),  # Cherokee
+    ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),  # Lisu
+    ("ɑɡıȷ", "agij"),  # Latin
+    ("\u2010\u2011", "--"),  # hyphens
+)
 # Small forms of capitals that look alike, as they come in text in lower case. Not the small mu: it is the micro sign's form.
 SMALL_CAPITALS = {c.lower(): latin.lower() for c, latin in LOOK_ALIKES.items() if c.isupper() and LOOK_ALIKES.get(c.lower()) != latin.lower() and c != "Μ"}
 # Compatibility forms that look different from what they decompose to.
@@ -66,12 +84,24 @@ def pieces(char: str) -> str:
 
 
 def by_table(text: str) -> str:
-    """The form of a text by table alone."""
+    """What a text looks like, by table alone: the same for all texts of one look."""
     if text.isascii() and "\t" not in text:
         return text
     return unicodedata.normalize("NFC", "".join(map(units, text)))
 
 
+def of_one_alphabet(word: str) -> str:
+    """A word of Latin letters and those of another alphabet, all in the other one where it has common letters of that look."""
+    form = by_table(word)
+    others = {_alphabet(c) for c in form if c.isalpha()} - {"LATIN", *_ANY_ALPHABET}
+    if len(others) != 1:
+        return form
+    own = {latin: c for c, latin in COMMON_LOOK_ALIKES.items() if _alphabet(c) in others}
+    parts = [own.get(c, c) for c in unicodedata.normalize("NFD", form)]
+    changed = unicodedata.normalize("NFC", "".join(parts))
+    return form if _mixed(changed) else changed
+
+
 def _alphabet(char: str) -> str:
     return unicodedata.name(char, "?").split(" ")[0] if char.isalpha() and char >= "\x80" else "LATIN" if char.isalpha() else ""
 
@@ -87,8 +117,12 @@ def is_plain(word: str) -> bool:
     return not _mixed(word)
 
 
+# Alphabets that stand in one word with any other.
+_ANY_ALPHABET = {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "MODIFIER"}
+
+
 def _mixed(word: str) -> bool:
-    return len({_alphabet(c) for c in word if c.isalpha()} - {"CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA"}) > 1
+    return len({_alphabet(c) for c in word if c.isalpha()} - _ANY_ALPHABET) > 1
 
 
 def _arcs(word: str, lowered: bool = False) -> list[tuple[str, ...]]:
@@ -160,7 +194,7 @@ def _form(trie: Trie, word: str, lowered: bool) -> str:
     form = trie.closest(word)
     if form is None and lowered and (_mixed(word) or _mixed(by_table(word))):
         form = trie.closest(word, lowered=True)
-    return form or by_table(word)
+    return form or of_one_alphabet(word)
 
 
 def _canonical_part(batches: Iterator[pa.RecordBatch], lowered: bool = False) -> Iterator[pa.RecordBatch]:

@@ -281,6 +281,22 @@ def test_trie_costs():
     assert trie.closest("Cache") is None and lookalikes.Trie({}).closest("a") is None
 
 
+def test_look_alikes_are_what_their_names_say():
+    """No letter twice, none that is plain, and every one of an alphabet that the list names."""
+    alphabets = Counter(lookalikes._alphabet(c) for c in lookalikes.LOOK_ALIKES if c.isalpha())
+    assert set(alphabets) == {"CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU", "LATIN"} and len(lookalikes.LOOK_ALIKES) < 200
+    assert all(not c.isascii() and x.isascii() for c, x in lookalikes.LOOK_ALIKES.items())
+    for c, x in lookalikes.LOOK_ALIKES.items():
+        assert not c.isalpha() or c.isupper() == x.isupper() or unicodedata.name(c).startswith("LISU") and x.isupper()
+
+
+def test_the_alphabet_of_a_form(spark):
+    words = ["coco", *["сосо"] * 5, "coсo", "пpивeт", "Жyрнал", "йoд", "ԛuick", "παρτu", "ϑx", "a‑b", "a-b", "Ԍo", "Go", "plаin"]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    forms = {r.word: r.form for r in lookalikes.canonical_words(frame).collect()}
+    assert forms == {"coсo": "coco", "сосо": "coco", "ϑx": "θx", "пpивeт": "привет", "Жyрнал": "Журнал", "йoд": "йод", "ԛuick": "quick", "παρτu": "παρτυ", "a‑b": "a-b", "Ԍo": "Go", "plаin": "plain"}
+
+
 def test_automaton_reads_the_characters_as_they_are(monkeypatch):
     """Arcs for look-alikes, presentation forms and ignorables; nothing but the arcs says what is alike."""
     trie = lookalikes.Trie({"cache": 5, "coffee": 2, "zoë": 1})
