@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.plans.shipping import ensure_importable
 
 # Single-byte encodings that UTF-8 is mistaken for, most usual first.
-SINGLE_BYTE = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-15", "cp866", "koi8-r")
+SINGLE_BYTE = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859-15", "cp866", "koi8-r", "cp1254", "cp1253", "iso8859-2", "iso8859-5")
 MAX_LAYERS = 5
 
 _LOST = "�"
@@ -61,7 +61,7 @@ class _Layer:
 
     def __init__(self, encoding: str):
         self.encoding = encoding
-        self.cyrillic = encoding in ("cp1251", "cp866", "koi8-r")
+        self.cyrillic = encoding in ("cp1251", "cp866", "koi8-r", "iso8859-5")
         self.bytes = _high_bytes(encoding)
         follow = _class(self.bytes, 0x80, 0xBF)
         two = f"{_class(self.bytes, 0xC2, 0xDF)}{follow}"
@@ -137,6 +137,8 @@ def _undo_single(text: str, layer: _Layer) -> str:
             if not any(c.isascii() and c.isalpha() for c in beside):
                 return None
         better = layer.restore(run)
+        if better is not None and layer.cyrillic and any(_script(c) == "greek" for c in better):
+            return None  # no text has Greek among Cyrillic
         return better if better is not None and all(_plausible(c) or c in _INTERMEDIATE for c in better) else None
 
     proven = False
@@ -158,13 +160,14 @@ _EAST_ASIAN = ("gbk", "shift_jis", "euc_jp", "big5")
 _LATIN_RUN = re.compile("[À-ÿ¨¸]{3,}")
 #: Inside a word of small Latin letters: what stands where an accented small letter should.
 _ODD_IN_WORD = re.compile(
-    "(?<=[a-z])[^\\x00-\\x7fa-zß-öø-ÿāăąćčďđēěęğīıłńňōőœřśşšťūůűźżž\u00ad\u00b5\u00b7\u2010-\u206f\ufeff\ufffd\ufb00-\ufb06\uff00-\uffef\u3000-\u9fff\u0300-\u036f\u00a0]+(?=[a-z])"
+    "(?<=[a-z])[^\\x00-\\x7fa-zß-öø-ÿāăąćčďđēěęğīıłńňōőœřśşšťūůűźżž\u00ad\u00b5\u00b7\u200b-\u206f\ufeff\ufffd\ufb00-\ufb06\uff00-\uffef\u3000-\u9fff\u0300-\u036f\u00a0]+(?=[a-z])"
     "|(?<=[a-z]{2})[^\\W\\d_a-zß-öø-ÿA-ZÀ-ÖØ-Þœ\u3000-\u9fff\uff00-\uffef\ufb00-\ufb06](?!\\w)"
 )
 # Western encodings mistaken for each other, as (read as, meant).
 _WESTERN = (("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("koi8-r", "cp1252"), ("cp866", "cp1252"))
 _WESTERN_LETTERS = set("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜ’“”–—…µ«»")
 _HAN = re.compile("[一-鿿]")
+_HAN_IN_WORD = re.compile("(?<=[a-z])[一-鿿]")
 _CHINESE = re.compile("[一-鿿]{4}|[。，、！？；：]")
 _WIDE_RUN = re.compile("[^\\x00-\\x7f]+")
 
@@ -369,6 +372,8 @@ def _undo_gbk(text: str) -> str:
                 return run
             if odd or not _CHINESE.search(text):
                 return good
+        if len(run) >= 3 and wrong and (russian := _russian_bytes(data)):
+            return russian
         if len(run) >= 4 and han >= 2 and wrong <= 0.5 * han:
             native, strange = native_and_strange()
             if strange > 0.2 * (native + strange):
@@ -378,6 +383,16 @@ def _undo_gbk(text: str) -> str:
     return _WIDE_RUN.sub(fix, text)
 
 
+def _russian_bytes(data: bytes) -> str | None:
+    """Russian in a legacy encoding, nearly all of it small letters; bytes of hanzi give capitals and signs instead."""
+    for encoding in ("cp1251", "koi8-r"):
+        good = data.decode(encoding, "replace")
+        small = sum("а" <= c <= "я" or c in "ё -,." for c in good)
+        if small >= 0.9 * len(good) and _russian(good) >= 0.55:
+            return good
+    return None
+
+
 def _keep_lost(run: str, data: bytes) -> str:
     return data.decode("utf-8", "replace").replace("�?", _LOST)
 
@@ -398,9 +413,31 @@ def _char_cost(char: str) -> int:
     return 1 if ord(char) >= 0x80 else 0
 
 
-def garbling_cost(text: str) -> int:
-    """How garbled a text looks: signs that no text is made of count most, then all that is beyond ASCII."""
-    return sum(_char_cost(c) for c in text if c >= "\x80")
+def garbling_cost(text: str) -> float:
+    """How garbled a text looks.
+
+    Signs that no text is made of count most, then all that is beyond ASCII. What doesn't read counts too: signs inside
+    words of small letters, hanzi (two bytes in one sign) and more so those that are not common ones, accented letters
+    in a row, and Cyrillic by how far its letters are from those of Russian.
+    """
+    wide = [c for c in text if c >= "\x80"]
+    cost = float(sum(map(_char_cost, wide)))
+    kinds = set(wide)
+    if any(map(_may_be_odd, kinds)):
+        cost += 2 * len(_ODD_IN_WORD.findall(text))
+    if any("一" <= c <= "鿿" for c in kinds):
+        cost += sum(1 if _common_han(c) else 2 for c in wide if "一" <= c <= "鿿") + len(_HAN_IN_WORD.findall(text))
+    if any("À" <= c <= "ÿ" for c in kinds):
+        cost += sum(len(run) for run in _LATIN_RUN.findall(text))
+    if any("Ѐ" <= c <= "ӿ" for c in kinds):
+        cost += sum(_unread(run) for run in _CYRILLIC_SENTENCE.findall(text) if _CYRILLIC_WORD.search(run))
+    return cost
+
+
+def _unread(run: str) -> float:
+    """How much of a stretch of Cyrillic does not read as Russian, in characters; capitals are no fault where all are."""
+    case = 1.0 if run.isupper() else _russian_case(run)
+    return sum(c >= "\x80" for c in run) * max(0.0, 1.5 - _russian(run) - 0.5 * case)
 
 
 _ASCII = frozenset(map(chr, range(0x80)))
@@ -415,18 +452,19 @@ def _better(text: str) -> str | None:
     chars = _beyond_ascii(text)
     if not chars:
         return None
+    cost = functools.cache(lambda: garbling_cost(text))  # most texts are never measured
     for undo in (_undo_east_asian, _undo_cyrillic):
-        if (good := undo(text)) != text and (undo is _undo_cyrillic or garbling_cost(good) < garbling_cost(text)):
+        if (good := undo(text)) != text and garbling_cost(good) < cost():
             return good
     layers = [layer for layer in map(_layer, SINGLE_BYTE) if layer.possible(chars) and layer.pattern.search(text)]
     if changed := [good for layer in layers if (good := _undo_single(text, layer)) != text]:
-        cost, n, good = min((garbling_cost(good), n, good) for n, good in enumerate(changed))
-        if cost < garbling_cost(text):
+        least, _, good = min((garbling_cost(good), n, good) for n, good in enumerate(changed))
+        if least < cost():
+            return good
+    for undo in (_undo_gbk, _undo_western):
+        if (good := undo(text)) != text and garbling_cost(good) < cost():
             return good
-    if (good := _undo_gbk(text)) != text:
-        return good
-    # These compare how well the words read; the number of signs stays the same.
-    return good if (good := _undo_western(text)) != text else None
+    return None
 
 
 def repair(text: str | None) -> tuple[str | None, int]:

@@ -171,6 +171,35 @@ def test_legacy_bytes_read_as_others(text, read_as, meant):
     assert mojibake.repair(garble(text, read_as, meant))[0] == text
 
 
+@pytest.mark.parametrize(("text", "read_as"), [(GOOD[5], "cp1254"), (GOOD[1], "cp1254"), ("Ο έλεγχος διαβάζει το αρχείο", "cp1253"), (GOOD[1], "iso8859-2"), ("Запрос проверяет счётчик ещё до слияния", "iso8859-5"), (GOOD[2], "iso8859-5")])
+def test_utf8_read_as_rarer_encodings(text, read_as):
+    assert mojibake.repair(garble(text, read_as))[0] == text
+
+
+def test_russian_read_as_gbk():
+    for word in ("запрос", "данных", "строке", "проверка"):
+        read = word.encode("cp1251").decode("gbk")
+        assert mojibake.is_garbled(read) and mojibake.repair(read)[0] == word
+    assert mojibake.repair(GOOD[7]) == (GOOD[7], 0)
+
+
+@pytest.mark.parametrize("text", GOOD)
+def test_each_accepted_step_lowers_the_cost(text):
+    """Whatever the means, a text is only replaced by one of lower garbling cost."""
+    for encoding in ("cp1252", "cp1251", "mac_roman", "cp850"):
+        now = garble(text, encoding) + " " + text
+        while (good := mojibake._better(now)) is not None:
+            assert mojibake.garbling_cost(good) < mojibake.garbling_cost(now)
+            now = good
+
+
+def test_share_of_restored_texts():
+    """Of texts that went through one wrong decoding, by far the most come out as they were."""
+    pairs = [("utf-8", e) for e in ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "cp1254", "iso8859-2")]
+    tries = [(text, garble(text, read_as, meant)) for text in GOOD for meant, read_as in pairs if garble(text, read_as, meant) != text]
+    assert sum(mojibake.repair(bad)[0] == text for text, bad in tries) >= 0.9 * len(tries) and len(tries) > 80
+
+
 def test_utf8_read_as_gbk():
     text = GOOD[7]
     assert mojibake.repair(text.encode().decode("gbk", "replace"))[1] > 0
