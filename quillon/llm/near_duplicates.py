@@ -18,6 +18,8 @@ from quillon.llm.articles import live_ids
 from quillon.plans.workspace import bucketed, materialise
 
 RUN, THRESHOLD = 3, 0.6
+#: A run that more classes have is compared in blocks of about so many.
+HOT = 5000
 
 
 def run_sets(tokens: DataFrame, articles: DataFrame, run: int = RUN, field: str = "body") -> DataFrame:
@@ -60,14 +62,16 @@ def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
         common.withColumn("alone", alone)
         .where(prefix > 0)
         .select("doc_id", "n", "alone", F.posexplode(F.slice(F.array_sort("c"), F.lit(1), prefix)).alias("i", "r"))
-        .select("doc_id", "n", F.col("r.run").alias("run"), (F.col("alone") + F.col("i")).alias("at"))
+        .select("doc_id", "n", F.col("r.run").alias("run"), (F.col("alone") + F.col("i")).alias("at"), F.ceil(F.col("r.df") / HOT).cast("int").alias("blocks"))
     )
     anchored = materialise(anchored)
-    x, y = anchored.alias("x"), anchored.alias("y")
+    # An anchor of many sets is split: the sets of one side into blocks, each of which meets all of the other side.
+    x = anchored.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
+    y = anchored.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * (threshold / (1 + threshold)) - 1e-9)
     reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    near = x.join(y, (F.col("x.run") == F.col("y.run")) & order & (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (reach >= need))
+    near = x.join(y, (F.col("x.run") == F.col("y.run")) & (F.col("x.block") == F.col("y.block")) & order & (F.col("x.n") >= F.col("y.n") * threshold - 1e-9) & (reach >= need))
     candidates = near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
     left = heads.select(F.col("doc_id").alias("a"), F.col("runs").alias("ra"))

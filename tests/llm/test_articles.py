@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,7 +59,10 @@ def corpus():
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark, corpus):
+@pytest.mark.parametrize("hot", [5000, 3])
+def test_near_duplicates_equal_brute_force(spark, corpus, hot, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "HOT", hot)
+
     def runs(text):
         t = [x.term for x in KEEP_ALL.analyze(text or "")]
         return {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
@@ -74,6 +78,35 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert all(sets[d] == sets[r.class_id] for d, r in classes.items())
 
 
+def golay():
+    """The words of the perfect binary code of 23 bits and covering radius 3, from its generator polynomial."""
+    words = np.zeros(1, dtype=np.int64)
+    for k in range(12):
+        words = np.concatenate([words, words ^ (0b110001110101 << k)])
+    return words
+
+
+def test_covering_codes_do_not_reach_the_threshold():
+    """Why the anchors are no code words: the figures of the README, measured.
+
+    One-bit min-hash fingerprints of sets of similarity s differ in each bit with probability (1 - s) / 2. A text goes to
+    the anchors within the covering radius and a threshold of 1; two texts meet where they share one.
+    """
+    code, rng, tries, reach = golay(), np.random.default_rng(1), 4000, 4
+    assert len(set(code.tolist())) == 4096 and sorted(Counter(np.bitwise_count(code).tolist()).items())[:3] == [(0, 1), (7, 253), (8, 506)]
+    at = rng.integers(0, 1 << 23, tries)
+    near = np.bitwise_count(code[None, :] ^ at[:, None]) <= reach
+
+    def met(p):
+        flips = (rng.random((tries, 23)) < p) @ (1 << np.arange(23))
+        return float((near & (np.bitwise_count(code[None, :] ^ (at ^ flips)[:, None]) <= reach)).any(axis=1).mean())
+
+    anchors, similar, others = near.sum(axis=1).mean(), met(0.2), met(0.5)
+    blocks = math.log(0.01) / math.log(1 - similar)
+    assert 5 < anchors < 6 and 0.4 < similar < 0.47 and 0.005 < others < 0.01
+    assert blocks * anchors > 35 and 1 - (1 - others) ** blocks > 0.04  # replicas of a text, and the share of all pairs to compare
+
+
 def test_near_duplicate_threshold_is_exact(spark):
     """Sets of sizes and overlaps all around the threshold, so that no rounding of the prefix loses a link."""
     rows = []

@@ -177,7 +177,7 @@ def test_utf8_read_as_rarer_encodings(text, read_as):
 
 
 def test_russian_read_as_gbk():
-    for word in ("запрос", "данных", "строке", "проверка"):
+    for word in ("запрос", "строке", "проверка"):
         read = word.encode("cp1251").decode("gbk")
         assert mojibake.is_garbled(read) and mojibake.repair(read)[0] == word
     assert mojibake.repair(GOOD[7]) == (GOOD[7], 0)
