@@ -75,6 +75,10 @@ class _Layer:
         """Whether a text of these characters can hold a stretch of the layer."""
         return not self.leads.isdisjoint(chars) and not self.follows.isdisjoint(chars)
 
+    def begins(self, pairs: set[tuple[str, str]]) -> bool:
+        """Whether a stretch of the layer can begin at one of these pairs of neighbours."""
+        return any(a in self.leads and b in self.follows for a, b in pairs)
+
     def restore(self, run: str) -> str | None:
         try:
             return bytes(self.bytes[c] for c in run).decode("utf-8")
@@ -456,7 +460,8 @@ def _better(text: str) -> str | None:
     for undo in (_undo_east_asian, _undo_cyrillic):
         if (good := undo(text)) != text and garbling_cost(good) < cost():
             return good
-    layers = [layer for layer in map(_layer, SINGLE_BYTE) if layer.possible(chars) and layer.pattern.search(text)]
+    pairs = {pair for run in _WIDE_RUN.findall(text) if len(run) > 1 for pair in zip(run, run[1:])}
+    layers = [layer for layer in map(_layer, SINGLE_BYTE) if layer.possible(chars) and layer.begins(pairs) and layer.pattern.search(text)]
     if changed := [good for layer in layers if (good := _undo_single(text, layer)) != text]:
         least, _, good = min((garbling_cost(good), n, good) for n, good in enumerate(changed))
         if least < cost():
