@@ -214,7 +214,6 @@ def token_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return made_offsets(spark, folder).join(stored, ["doc_id", "field", "pos"], "left_semi")
 
 
-_register("made_offsets", made_offsets)
 _register(
     "token_offsets",
     token_offsets,
@@ -391,6 +390,15 @@ _register(
     SELECT doc_id, string_agg(CASE WHEN marked THEN '<em>' || shown || '</em>' ELSE shown END, '' ORDER BY i) AS snippet FROM p GROUP BY doc_id HAVING bool_or(marked)""",
 )
 
+_FIELDS = "(SELECT DISTINCT doc_id, 'title' AS field, title AS text FROM articles WHERE title IS NOT NULL UNION ALL SELECT DISTINCT doc_id, 'body', body FROM articles WHERE body IS NOT NULL)"
+_register(
+    "made_offsets",
+    made_offsets,
+    f"""WITH p AS (SELECT *, octet_length(encode(piece)) AS bytes FROM ({_cut(_FIELDS)})),
+    placed AS (SELECT *, sum(bytes) OVER (PARTITION BY doc_id, field ORDER BY i) AS stop FROM p)
+    SELECT doc_id, field, (i // 2 - 1)::INT AS pos, {_folded('piece')} AS term, (stop - bytes)::INT AS start_byte, stop::INT AS end_byte FROM placed WHERE i % 2 = 0""",
+)
+
 # --- change log ---
 
 
