@@ -19,6 +19,7 @@ from quillon.operators.search import Collection
 from quillon.plans.syntax import Bool, Term
 from quillon.plans.tables import table
 from quillon.plans.workspace import scratch_path
+from quillon.sources.corpus import read_folder
 
 DOCUMENT_KINDS = {"text": "text", "lang": "keyword", "source": "keyword", "origin": "keyword", "n_chars": "number", "added_at": "date"}
 PART_KINDS = {"p_name": "text", "p_type": "text", "p_brand": "keyword", "p_size": "number", "p_retailprice": "number"}
@@ -443,6 +444,19 @@ def held_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 _register("held_snapshot", held_snapshot, f"{_LIVE} SELECT tbl, external, seq FROM live".replace("FROM changelog WHERE", "FROM changelog WHERE rec_id <= (SELECT (min(rec_id) + max(rec_id)) / 2.0 FROM changelog) AND"))
 
+# --- sources ---
+
+
+def folder_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The bodies of all articles, written as text files in folders of their own and read as a corpus."""
+    place = scratch_path(spark, "texts")
+    texts = table(spark, folder, "articles").where("body <> ''").select("doc_id", "body").distinct()
+    texts.repartition("doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(place)
+    return read_folder(spark, place).select(F.md5(F.regexp_replace("body", r"\n\z", "")).alias("body"))
+
+
+_register("folder_source", folder_source, "SELECT md5(body) AS body FROM (SELECT DISTINCT doc_id, body FROM articles WHERE body <> '')")
+
 # --- tables of the engine ---
 
 
