@@ -37,7 +37,10 @@ def build_postings(analysed: DataFrame, fields: list[str]) -> DataFrame:
     """``field, term, seq, id, tf, positions, length`` from documents with token columns.
 
     A group never crosses a document, so the tokens are sorted and grouped inside the row: no shuffle, no aggregation.
+    Without fields there are no rows.
     """
+    if not fields:
+        return analysed.sparkSession.createDataFrame([], "field STRING, term STRING, seq BIGINT, id STRING, tf INT, positions ARRAY<INT>, length INT")
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_t_{f}").alias("tokens"), F.size(f"_t_{f}").alias("length")) for f in fields))
     by_field = analysed.select("seq", "id", F.inline(each)).where("length > 0")
     rows = by_field.select("seq", "id", "field", "length", F.inline(_by_term(F.col("tokens"))))

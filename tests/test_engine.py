@@ -220,6 +220,16 @@ def test_numbers_given_out_before_an_index_was_built(spark, engine):
     assert t._meta["index"]["upto"] == numbers and t.search("alpha").total() == 2
 
 
+def test_index_of_a_table_without_text(spark, engine):
+    t = engine.create_table("numbers", {"n": "number"})
+    assert t.build_index().search("-word").total() == 0
+    t.upsert_frame(spark.createDataFrame([("1", 1.0), ("2", 5.0)], "id string, n double"), {"n": "number"})
+    assert t.search("n:>2").total() == 1 and t.build_index().search("n:>2").total() == 1
+    t.delete_frame(spark.createDataFrame([("2",), (None,), ("none",)], "id string"))
+    t.upsert(Document("3", {"title": "word"}))
+    assert t.search("n:>=0 OR word").total() == 2 and t.search("word").total() == 1 and t.count() == 2
+
+
 def test_index_is_built_by_itself(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(module, "INDEX_RECORDS", 3)
     t = Engine(spark, str(tmp_path), indexed=True).table()
