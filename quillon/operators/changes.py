@@ -33,7 +33,7 @@ KEY = ("tbl", "external")
 BUCKET, ORDER = "external", ("external", "tbl", "seq")
 #: Bytes of input that one bucket is made for.
 BUCKET_BYTES, BUCKETS, MAX_BUCKETS = 64 << 20, 4, 4096
-_TRIES = 200
+_TRIES, _LISTINGS = 200, 6
 # The id of the write in the name of a file that Spark made.
 _WRITE = re.compile(r"part-\d+-([0-9a-f-]{36})")
 _EDGE_SPACE = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
@@ -97,6 +97,8 @@ class ChangeStore:
     fan_in: int = 16
     #: Seconds that replaced runs and former manifests stay, for frames that read them.
     retention: float = 3600.0
+    #: Seconds that a write may take, from its numbers to its version.
+    patience: float = 86_400.0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, buckets: int | None = None, meta: dict | None = None) -> ChangeStore:
@@ -157,20 +159,20 @@ class ChangeStore:
     def reserve(self, n: int) -> int:
         """The first of ``n`` sequence numbers that no other writer gets; those that are not used stay gaps.
 
-        They are to be published within ``retention`` seconds: ``horizon`` relies on it.
+        They are to be published within ``patience`` seconds: ``horizon`` relies on it.
         """
 
         def give(state: dict) -> dict:
             now, marks = time.time(), state.get("marks", [])
-            if not marks or now - marks[-1][0] > self.retention / 4:
+            if not marks or now - marks[-1][0] > self.patience / 4:
                 marks = [*marks[-7:], [now, state["next_seq"]]]
             return state | {"next_seq": state["next_seq"] + n, "marks": marks}
 
         return self.commit(give)["next_seq"] - n
 
     def horizon(self) -> int:
-        """A number below which all reserved ones were given out ``retention`` seconds ago or more, so none is still to come."""
-        before = time.time() - self.retention
+        """A number below which all reserved ones were given out ``patience`` seconds ago or more, so none is still to come."""
+        before = time.time() - self.patience
         return max((seq for at, seq in self.state().get("marks", []) if at <= before), default=0)
 
     def commit(self, change: Callable[[dict], dict]) -> dict:
@@ -200,19 +202,25 @@ class ChangeStore:
         return self
 
     def vacuum(self, retention: float | None = None) -> ChangeStore:
-        """Removes runs that were replaced, leftovers of failed appends and manifests, all older than ``retention`` seconds."""
+        """Removes runs that were replaced and manifests older than ``retention`` seconds, and what failed writes left.
+
+        Files that no manifest names may be those of a write under way, so they stay for ``patience`` seconds, or for
+        ``retention`` where it is given.
+        """
         before = time.time() - (self.retention if retention is None else retention)
+        abandoned = time.time() - (self.patience if retention is None else retention)
         gone = {p for p, at in self.state()["retired"].items() if at <= before}
         if gone:
             self.commit(lambda state: state | {"retired": {p: at for p, at in state["retired"].items() if p not in gone}})
         state = self.state()
         for place in gone:
             remove(self.spark, place)
+        emptied = {p.rpartition("/")[0] for p in gone}
         kept = {p.rpartition("/")[0] for p in (*(r["place"] for r in state["runs"].values()), *state["retired"])}
         fs, root = filesystem(self.spark, self.path)
         for s in fs.listStatus(root):
             name = s.getPath().getName()
-            if name.startswith("data-") and f"{self.path}/{name}" not in kept and s.getModificationTime() / 1000 <= before:
+            if name.startswith("data-") and f"{self.path}/{name}" not in kept and (s.getModificationTime() / 1000 <= abandoned or f"{self.path}/{name}" in emptied):
                 fs.delete(s.getPath(), True)
         for s in fs.listStatus(filesystem(self.spark, f"{self.path}/manifest")[1]):
             if s.getPath().getName() != _file_of(state["version"]) and s.getModificationTime() / 1000 <= before:
@@ -335,7 +343,7 @@ class ChangeStore:
             f"CLUSTERED BY ({BUCKET}) SORTED BY ({', '.join(ORDER)}) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
         try:
-            frame = self.spark.table(name)
+            frame = self._listed(name)
         finally:
             self.spark.sql(f"DROP TABLE {name}")
         files, wanted = len(frame.inputFiles()), sum(r["files"] for r in runs)
@@ -343,6 +351,18 @@ class ChangeStore:
             raise Corrupted(f"{self.path} has {files} of {wanted} files that its manifest names")
         return frame
 
+    def _listed(self, name: str) -> DataFrame:
+        """The frame of a table; its files are listed now. That fails where another writer just removed a folder that no
+        manifest names, as of a write that was refused, and is tried again."""
+        for attempt in range(_LISTINGS):
+            try:
+                return self.spark.table(name)
+            except Exception:
+                if attempt == _LISTINGS - 1:
+                    raise
+                time.sleep(0.05 * (attempt + 1))
+        raise AssertionError
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "tbl STRING, external STRING, seq BIGINT, deleted BOOLEAN, doc_fields MAP<STRING, STRING>")
 

@@ -153,7 +153,7 @@ class Table:
         began = time.time()
 
         def unmoved(state: dict) -> None:
-            if time.time() - began > self._store.retention:
+            if time.time() - began > self._store.patience:
                 raise Busy(f"a write to table {self.name} took too long")
             if runs is not None and state["runs"].keys() != runs.keys():
                 raise _Moved
@@ -249,7 +249,7 @@ class Table:
             began = time.time()
 
             def in_time(state: dict) -> None:
-                if time.time() - began > self._store.retention:
+                if time.time() - began > self._store.patience:
                     raise Busy(f"a write to table {self.name} took too long")
                 if label in state["meta"]["imported"]:
                     raise _Moved

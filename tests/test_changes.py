@@ -134,6 +134,25 @@ def test_merge_needs_no_shuffle(spark, tmp_path):
     assert spark.catalog.listTables() == []
 
 
+def test_folders_that_vanish_while_files_are_listed(spark, tmp_path, monkeypatch):
+    store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
+    store.append(feed(spark, [("t", 1, "d", {}, False, None)]))
+    left, table = [2, 99], type(spark).table
+
+    def sometimes(self, name):
+        if left[0]:
+            left[0] -= 1
+            raise FileNotFoundError(name)
+        return table(self, name)
+
+    monkeypatch.setattr(type(spark), "table", sometimes)
+    assert len(state(store.live())) == 1 and left[0] == 0
+    left[0] = 99
+    with pytest.raises(FileNotFoundError):
+        store.live()
+    assert spark.catalog.listTables() == []
+
+
 def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
     store = ChangeStore.open(spark, str(tmp_path / "s"), 2)
     store.append(feed(spark, [("t", 1, "d", {}, False, None)]))

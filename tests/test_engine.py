@@ -46,10 +46,10 @@ def test_documents_and_restart(spark, engine):
     assert fingerprint(again) == before
     again.compact()
     assert again.stats()["log_records"] == 5  # a tombstone stays as long as a write with a lower number may be under way
-    again._store.retention = 0
+    again._store.patience = 0
     again._store.reserve(1)
     again.compact()
-    again._store.retention = 3600
+    again._store.patience = 3600
     assert fingerprint(again) == before and again.stats()["log_records"] == 4
     again.upsert(Document("d6", {"title": "gamma"}))
     assert again.has("d6") and not again.has("d4")
