@@ -335,32 +335,31 @@ class ChangeStore:
         The catalog entry lives just long enough to say how the files are bucketed. (A union of a scan for each run
         would not do: Spark 4.1 takes the union of bucketed columnar scans for partitioned, but doesn't align them.)
         """
-        name = f"quillon_log_{uuid.uuid4().hex}"
         writes = ",".join(sorted({r["write"] for r in runs}))
-        self.spark.sql(
-            f"CREATE TABLE {name} (tbl STRING, external STRING, seq BIGINT, deleted BOOLEAN, doc_fields MAP<STRING, STRING>) "
+        frame = self._listed(
+            "(tbl STRING, external STRING, seq BIGINT, deleted BOOLEAN, doc_fields MAP<STRING, STRING>) "
             f"USING parquet OPTIONS (recursiveFileLookup 'true', pathGlobFilter '*-{{{writes}}}_*') "
             f"CLUSTERED BY ({BUCKET}) SORTED BY ({', '.join(ORDER)}) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
-        try:
-            frame = self._listed(name)
-        finally:
-            self.spark.sql(f"DROP TABLE {name}")
         files, wanted = len(frame.inputFiles()), sum(r["files"] for r in runs)
         if files != wanted:
             raise Corrupted(f"{self.path} has {files} of {wanted} files that its manifest names")
         return frame
 
-    def _listed(self, name: str) -> DataFrame:
+    def _listed(self, definition: str) -> DataFrame:
         """The frame of a table; its files are listed now. That fails where another writer just removed a folder that no
         manifest names, as of a write that was refused, and is tried again."""
+        name = f"quillon_log_{uuid.uuid4().hex}"
         for attempt in range(_LISTINGS):
             try:
+                self.spark.sql(f"CREATE TABLE {name} {definition}")
                 return self.spark.table(name)
             except Exception:
                 if attempt == _LISTINGS - 1:
                     raise
                 time.sleep(0.05 * (attempt + 1))
+            finally:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         raise AssertionError
 
     def _empty(self) -> DataFrame:
